@@ -49,7 +49,7 @@ class Transducer:
 
     _FINAL, _CONFIGURATIONS = -1, -2
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 150_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -102,7 +102,7 @@ class Transducer:
         """
         if self._halves(first) is None or self._halves(second) is None:
             return False
-        if len(self.stable) > 1_000_000:
+        if len(self.stable) > 250_000:
             self.stable.clear()
         x, y, x_ends, y_ends = first, second, 1 << 60, 1 << 60
         while True:
@@ -174,7 +174,7 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 class Encoder:
     """Cuts texts into pieces by ``pattern`` and encodes each piece; remembers chunks met before, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 250_000):
         self.transducer = Transducer(ranks)
         cut = regex.compile(pattern).findall
         encode = self.transducer.encode
@@ -284,15 +284,19 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFr
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        decoder = loaded(f"decoder {ranks_path}", lambda: Decoder(read_ranks(ranks_path)))
-        rows = []
-        for data in batch.column(1).to_pylist():
-            digest, machine, chars = hashlib.sha256(), Utf8Machine(), 0
-            for block in decoder.blocks(np.frombuffer(data, "<u4")):
-                digest.update(block)
-                chars += len(machine.feed(block))
-            rows.append((len(data) // 4, hashlib.sha256(data).hexdigest(), digest.hexdigest(), chars + len(machine.finish())))
-        n, ids, decoded, chars = zip(*rows, strict=True)
-        yield {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded), "decoded_chars": pa.array(chars, pa.int64())}
-
-    return arrow_map(encode(docs, ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long", run)
+        encoder = loaded(f"transducer {ranks_path}", lambda: Encoder(read_ranks(ranks_path), pattern))
+        decoder = loaded(f"decoder {ranks_path}", lambda: Decoder(encoder.transducer.ranks))
+        for at in range(0, batch.num_rows, 1000):
+            some, rows = batch.slice(at, 1000), []
+            for text in some.column(1).to_pylist():
+                data = encoder(text)
+                digest, machine, chars = hashlib.sha256(), Utf8Machine(), 0
+                for block in decoder.blocks(np.frombuffer(data, "<u4")):
+                    digest.update(block)
+                    chars += len(machine.feed(block))
+                rows.append((len(data) // 4, hashlib.sha256(data).hexdigest(), digest.hexdigest(), chars + len(machine.finish())))
+            n, ids, decoded, chars = zip(*rows, strict=True)
+            yield {"doc_id": some.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded), "decoded_chars": pa.array(chars, pa.int64())}
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return arrow_map(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long", run)

@@ -49,7 +49,7 @@ class Transducer:
 
     _FINAL, _CONFIGURATIONS = -1, -2
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 350_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -102,7 +102,7 @@ class Transducer:
         """
         if self._halves(first) is None or self._halves(second) is None:
             return False
-        if len(self.stable) > 250_000:
+        if len(self.stable) > 600_000:
             self.stable.clear()
         x, y, x_ends, y_ends = first, second, 1 << 60, 1 << 60
         while True:
@@ -174,7 +174,7 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 class Encoder:
     """Cuts texts into pieces by ``pattern`` and encodes each piece; remembers chunks met before, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 500_000):
         self.transducer = Transducer(ranks)
         cut = regex.compile(pattern).findall
         encode = self.transducer.encode

@@ -11,6 +11,7 @@ the id), and keeps the ``GRAMS`` most frequent n-grams of each language.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from .common import arrow_map
 
 GRAMS, SMOOTHING, SWITCH = 8000, 0.5, 6.0
 #: Words of which a worker remembers the scores.
-MEMORY = 300_000
+MEMORY = 600_000
 #: A script belongs to a language if at least this share of the language's letters is written in it.
 LEAST_SHARE = 0.005
 _WORD = re.compile(r"[^\W\d_]+")
@@ -99,7 +100,7 @@ def fit(rows: DataFrame, sample: int = 8000) -> dict:
     letters = sum(scripts.values()) if scripts else np.zeros(len(langs))
     scale = totals + SMOOTHING * max(len(table), 1)
     logs = {g: np.log((n + SMOOTHING) / scale).astype(np.float32) for g, n in table.items()}
-    return {"langs": langs, "grams": logs, "unseen": np.log(SMOOTHING / np.maximum(scale, 1)).astype(np.float32), "scripts": {s: n >= LEAST_SHARE * np.maximum(letters, 1) for s, n in scripts.items()}}
+    return {"id": uuid.uuid4().hex, "langs": langs, "grams": logs, "unseen": np.log(SMOOTHING / np.maximum(scale, 1)).astype(np.float32), "scripts": {s: n >= LEAST_SHARE * np.maximum(letters, 1) for s, n in scripts.items()}}
 
 
 class Scorer:
@@ -137,6 +138,17 @@ class Scorer:
             self._clear()
 
 
+_kept: dict[str, Scorer] = {}
+
+
+def _scorer(model: dict) -> Scorer:
+    """The model's scorer in this worker process, with what it remembers; one model at a time is kept."""
+    if model["id"] not in _kept:
+        _kept.clear()
+        _kept[model["id"]] = Scorer(model)
+    return _kept[model["id"]]
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word: sum of scores less ``penalty`` for each switch; ties go to the smaller label.
 
@@ -189,7 +201,7 @@ def predict(docs: DataFrame, model: dict, penalty: float = SWITCH) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, langs = Scorer(model), model["langs"]
+        scorer, langs = _scorer(model), model["langs"]
         names = [x.split()[0] for x in PREDICTED.split(", ", 4)]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
@@ -207,7 +219,7 @@ def predict(docs: DataFrame, model: dict, penalty: float = SWITCH) -> DataFrame:
                 edge = np.ones(len(flat), bool)
                 edge[1:] = (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])
                 first = np.flatnonzero(edge)
-                ends = np.append(first[1:], len(flat))
+                ends = np.append(first[1:], len(flat))[: len(first)]
                 begin = np.concatenate([[0], np.cumsum(lengths)])
                 spans: list[list[dict]] = [[] for _ in lists]
                 for f, e in zip(first.tolist(), ends.tolist(), strict=True):

@@ -61,7 +61,7 @@ def eq(field: str | None, value: object) -> Filter:
         return _TRUE
     if value is None:
         return Filter(lambda p: F.lit(False))
-    return Filter(lambda p: F.coalesce(_compare(field, value, p, lambda c, v: c == v), F.lit(False)))
+    return Filter(lambda p: _compare(field, value, p, lambda c, v: c == v))
 
 
 def _compare(field: str, value: object, promoted: dict[str, str], op: Callable[[Column, Column], Column]) -> Column:
@@ -82,14 +82,14 @@ def in_(field: str | None, values: list | None) -> Filter:
 
     def build(p: dict[str, str]) -> Column:
         if field in p and len({isinstance(v, str) for v in some} | {isinstance(v, bool) for v in some}) <= 2 and all(isinstance(v, str) for v in some) == (p[field] == "string"):
-            return F.coalesce(F.col(field).isin(some), F.lit(False))
+            return F.col(field).isin(some)
         return reduce(lambda a, b: a | b, [eq(field, v).build(p) for v in some])
 
     return Filter(build)
 
 
 def _ordered(op: Callable[[Column, Column], Column]) -> Callable[[str, object], Filter]:
-    return lambda field, value: Filter(lambda p: F.coalesce(_compare(field, value, p, op), F.lit(False)))
+    return lambda field, value: Filter(lambda p: _compare(field, value, p, op))
 
 
 gt = _ordered(lambda c, v: c > v)
@@ -104,7 +104,7 @@ def between(field: str, low: object, high: object) -> Filter:
 
 
 def prefix(field: str, start: str) -> Filter:
-    return Filter(lambda p: F.coalesce(_compare(field, start, p, lambda c, v: c.startswith(v)), F.lit(False)))
+    return Filter(lambda p: _compare(field, start, p, lambda c, v: c.startswith(v)))
 
 
 def contains(needle: str) -> Column:

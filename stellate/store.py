@@ -97,6 +97,7 @@ class VectorStore:
         return self._flagged(self.rows, condition.column(self.definition.indexed))
 
     def _flagged(self, rows: DataFrame, gone) -> tuple[VectorStore, int]:
+        gone = F.coalesce(gone, F.lit(False))
         n = rows.where(~F.col("deleted") & gone).count()
         kept = [c for c in rows.columns if c not in ("_id", "deleted")]
         return replace(self, rows=rows.select(*kept, (F.col("deleted") | gone).alias("deleted")).select(*self.rows.columns)), n

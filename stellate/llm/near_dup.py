@@ -8,11 +8,13 @@
 3. Banding: ``BANDS`` bands of ``ROWS`` registers.  Texts that share a band key are linked to the one with
    the least digest there, so a key's group is never expanded; components of these links are *groups*, and
    any two texts that share a key are in one group.
-4. Verification: within a group, texts are sorted by their number of shingles and cut into blocks of
-   ``BLOCK``; a task compares the texts of one pair of blocks, exactly, by Jaccard of the sets of shingles.
-   Pairs of blocks whose sizes rule out the similarity are left out.  No pair of rows is emitted: a task
-   returns the links that join what its earlier links have not.
-5. Components of the links are the classes.
+4. Verification is exact, by Jaccard of the sets of shingles, in units of about ``BLOCK`` texts that one
+   task compares.  No pair of rows is emitted: a task returns the links that join what its earlier links
+   have not.  First each text meets the head that it shares most keys with, and others of that head;
+   components of these links are classes already.  Then, in groups that are still several classes, texts
+   sorted by their number of shingles are cut into blocks, and pairs of blocks are compared, but for those
+   within one large class and those whose sizes rule out the similarity.
+5. Components of the links of both passes are the classes.
 
 At a similarity of 0.8 two texts share none of 32 bands of 5 registers with a probability of 3e-6.  Equal
 texts are told by digest and go through steps 2 to 5 once.
@@ -30,6 +32,8 @@ from .common import U64, arrow_map, mix, shuffle_partitions, span_hashes, text_b
 from .components import connected_components
 
 SHINGLE, BANDS, ROWS, BLOCK = 5, 32, 5, 256
+#: A text with more than 1 / HOT of all rows has its class broadcast.
+HOT = 1024
 THRESHOLD = 0.8
 
 
@@ -186,6 +190,54 @@ def _digest(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
+def _near_heads(stars: DataFrame, block: int) -> DataFrame:
+    """Units ``node, unit, side`` of texts with the head that they share most keys with, about ``block`` texts each."""
+    best = stars.groupBy("digest").agg(F.max(F.struct("shared", "head")).alias("best")).select("digest", F.col("best.head").alias("head"))
+    chunks = best.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).alias("chunks"))
+    dealt = best.join(chunks, "head").select("digest", "head", F.pmod(F.xxhash64("digest"), F.col("chunks")).alias("chunk"))
+    both = dealt.select(F.col("digest").alias("node"), "head", "chunk").union(dealt.select("head", "head", "chunk").distinct())
+    return both.select("node", F.xxhash64("head", "chunk").alias("unit"), F.lit(0).alias("side"))
+
+
+def _across(groups: DataFrame, first: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Units ``node, unit, side`` for all pairs of one group that ``first``, the classes so far, leaves apart.
+
+    A class of at least ``block`` texts is a lane of its own, whose blocks are not compared with each
+    other; the other texts of a group share a lane.  Groups that are one class need no more comparisons.
+    """
+    known = first.withColumnRenamed("component", "class")
+    large = known.groupBy("class").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= block).select("class", F.lit(True).alias("large"))
+    sized = groups.join(known, "node", "left").join(large, "class", "left").join(texts.select(F.col("digest").alias("node"), "n_shingles"), "node")
+    sized = sized.select("component", "node", "n_shingles", F.coalesce("class", "node").alias("class"), F.when(F.col("large"), F.col("class")).otherwise(F.lit(b"")).alias("lane"), F.pmod(F.xxhash64("node"), F.lit(64)).alias("salt"))
+    sized = written(sized, "sized")
+    apart = sized.groupBy("component").agg((F.min("class") < F.max("class")).alias("apart")).where("apart").select("component")
+    sized = sized.join(apart, "component")
+    # A lane's blocks get their numbers from counts by size, not from a sort of the lane.
+    cells = sized.groupBy("component", "lane", "n_shingles", "salt").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("component", "lane").orderBy("n_shingles", "salt")) - F.col("c")
+    cells = cells.select("component", "lane", "n_shingles", "salt", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("component", "lane", "n_shingles", "salt").orderBy("node")) - 1
+    blocks = sized.withColumn("place", place).join(cells, ["component", "lane", "n_shingles", "salt"])
+    at = F.struct("lane", F.floor((F.col("before") + F.col("place")) / block).cast("int").alias("block")).alias("at")
+    blocks = written(blocks.select("component", "node", "n_shingles", at), "blocks")
+    spans = blocks.groupBy("component", "at").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    # Pairs of blocks of one group whose sizes allow the similarity: |small| >= threshold * |large|.
+    other = spans.select("component", F.col("at").alias("at2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = spans.join(other, "component").where((F.col("at") <= F.col("at2")) & (F.col("high") >= threshold * F.col("low2") - 1e-6) & (F.col("high2") >= threshold * F.col("low") - 1e-6))
+    pairs = pairs.where((F.col("at.lane") != F.col("at2.lane")) | (F.col("at.lane") == F.lit(b"")))
+    unit = F.xxhash64("component", "at", "at2").alias("unit")
+    sides = pairs.select("component", "at", unit, F.lit(0).alias("side")).union(pairs.where("at < at2").select("component", "at2", unit, F.lit(1).alias("side")))
+    return blocks.select("component", "node", "at").join(sides, ["component", "at"]).select("node", "unit", "side")
+
+
+def _with_texts(members: DataFrame, rows_in: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """``unit, side, digest, text`` of ``members``, ordered by unit: one text for each digest that is a member."""
+    chosen = members.select("node").distinct().join(texts.select(F.col("digest").alias("node"), "least"), "node")
+    bodies = rows_in.join(chosen, (F.col("digest") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
+    compared = members.join(bodies, "node").select("unit", "side", F.col("node").alias("digest"), "text")
+    return compared.repartition(n, "unit").sortWithinPartitions("unit", "side", "digest")
+
+
 def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """``doc_id, digest, class_id`` for every row: classes are components of links of at least the similarity.
 
@@ -199,40 +251,35 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     rows_in = rows_in.withColumn("digest", _digest())
     signed = written(_signed(rows_in, bands, rows), "signatures")
     # One row per different text, with its least id.
-    texts = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    texts = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     texts = written(texts, "texts")
-    # Links of each band key to its least text.
+    # Links of each band key to its least text, with the number of keys that tell them.
     banded = texts.select("digest", F.posexplode("keys").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    stars = banded.join(heads, ["band", "key"]).where("digest <> head").select(F.col("head").alias("a"), F.col("digest").alias("b"))
-    groups = written(connected_components(stars), "groups")
-    # Blocks of each group by number of shingles; a group's blocks get their numbers from counts by size, not from a sort of the group.
-    sized = groups.join(texts.select(F.col("digest").alias("node"), "n_shingles"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
-    cells = sized.groupBy("component", "n_shingles", "salt").agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.partitionBy("component").orderBy("n_shingles", "salt")) - F.col("c")
-    cells = cells.select("component", "n_shingles", "salt", before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("component", "n_shingles", "salt").orderBy("node")) - 1
-    blocks = sized.withColumn("place", place).join(cells, ["component", "n_shingles", "salt"])
-    blocks = written(blocks.select("component", "node", "n_shingles", F.floor((F.col("before") + F.col("place")) / block).cast("int").alias("block")), "blocks")
-    spans = blocks.groupBy("component", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    # Pairs of blocks of one group whose sizes allow the similarity: |small| >= threshold * |large|.
-    other = spans.select("component", F.col("block").alias("block2"), F.col("low").alias("low2"))
-    pairs = spans.join(other, "component").where((F.col("block") <= F.col("block2")) & (F.col("high") >= threshold * F.col("low2") - 1e-6))
-    unit = F.struct("component", "block", "block2")
-    sides = pairs.select("component", unit.alias("pair"), F.col("block").alias("at"), F.lit(0).alias("side")).union(pairs.where("block < block2").select("component", unit.alias("pair"), F.col("block2").alias("at"), F.lit(1).alias("side")))
-    members = blocks.select("component", "node", F.col("block").alias("at")).join(sides, ["component", "at"]).select("node", F.xxhash64("pair.component", "pair.block", "pair.block2").alias("unit"), "side")
-    # One text for each digest that is in a group.
-    chosen = groups.select("node").join(texts.select(F.col("digest").alias("node"), "least"), "node")
-    bodies = rows_in.join(chosen, (F.col("digest") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
-    compared = members.join(bodies, "node").select("unit", "side", F.col("node").alias("digest"), "text")
-    compared = compared.repartition(n, "unit").sortWithinPartitions("unit", "side", "digest")
-    links = written(_verified(compared, threshold), "links")
-    classes = connected_components(links)
+    stars = banded.join(heads, ["band", "key"]).where("digest <> head").groupBy("head", "digest").agg(F.count(F.lit(1)).alias("shared"))
+    stars = written(stars, "stars")
+    groups = written(connected_components(stars.select(F.col("head").alias("a"), F.col("digest").alias("b"))), "groups")
+    near = written(_verified(_with_texts(_near_heads(stars, block), rows_in, texts, n), threshold), "near")
+    first = written(connected_components(near), "first")
+    rest = written(_across(groups, first, texts, threshold, block), "rest")
+    far = written(_verified(_with_texts(rest, rows_in, texts, n), threshold), "far")
+    classes = connected_components(near.union(far))
     least = classes.join(texts.select(F.col("digest").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("class_id"))
     named = classes.join(least, "component").select(F.col("node").alias("digest"), "class_id")
-    # Every row: its class, else its text's least id, else its own.
-    names = texts.select("digest", "least").join(named, "digest", "left").select("digest", F.coalesce("class_id", "least").alias("class_id"))
-    return signed.select("doc_id", "digest").join(names, "digest", "left").select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"))
+    names = texts.select("digest", "least", "copies").join(named, "digest", "left").select("digest", "copies", F.coalesce("class_id", "least").alias("class_id"))
+    names = written(names, "names")
+    # Every row: its text's class, else its own.  Fewer than HOT texts can each have over 1 / HOT of the
+    # rows, so these are broadcast, and the shuffled join meets no larger group of copies.
+    common = F.col("copies") > signed.count() / HOT
+    hot = F.broadcast(names.where(common).select("digest", "class_id"))
+    worded = signed.where("n_shingles > 0").select("doc_id", "digest")
+    parts = [
+        worded.join(hot, "digest"),
+        worded.join(hot, "digest", "left_anti").join(names.where(~common).select("digest", "class_id"), "digest"),
+        signed.where("n_shingles = 0").select("doc_id", "digest", F.col("doc_id").alias("class_id")),
+    ]
+    named_class = F.coalesce("class_id", "doc_id").alias("class_id")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "digest", named_class)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -221,6 +221,24 @@ def test_near_duplicates_are_brute_force(spark, odd, none):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
 
 
+def test_second_pass_covers_what_the_first_leaves_apart(spark):
+    node = {k: bytes([k]) for k in range(1, 13)}
+    group = {k: 1 if k <= 9 else 10 for k in node}  # two groups: 1 to 9, and 10 to 12, which is one class already
+    label = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 10: 10, 11: 10, 12: 10}  # 7 to 9 are in no class
+    groups = spark.createDataFrame([(node[k], node[g]) for k, g in group.items()], "node binary, component binary")
+    first = spark.createDataFrame([(node[k], node[c]) for k, c in label.items()], "node binary, component binary")
+    table = spark.createDataFrame([(node[k], 100) for k in node], "digest binary, n_shingles long")
+    units = {}
+    for r in near_dup._across(groups, first, table, 0.8, 2).collect():
+        units.setdefault(r["unit"], []).append((r["node"][0], r["side"]))
+    covered = set()
+    for rows in units.values():
+        two = len({side for _, side in rows}) > 1
+        covered |= {(a, b) for a, x in rows for b, y in rows if a < b and not (two and x == y)}
+    want = {(a, b) for a in range(1, 10) for b in range(a + 1, 10) if label.get(a, a) != label.get(b, b)}
+    assert covered == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 2**60, 300).astype(np.uint64), rng.integers(1, 2**60, 100).astype(np.uint64)

@@ -109,7 +109,7 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
     position = np.full(len(known), -1)
     position[telling] = np.arange(len(telling))
     at = position[index]
-    x = np.zeros((len(lists), len(telling)), np.float32)
+    x = np.zeros((len(lists), len(telling)))  # at most the samples' rows by MOST_TERMS; float64, as products with float32 convert it at every step
     x[where[at >= 0], at[at >= 0]] = 1
     evidence = x @ np.sqrt(ratio[telling])
     grade = np.where(toxic, 1, 0)

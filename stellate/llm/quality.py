@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> dict | None:
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id_hash")
         y = rows["label"].to_numpy(float)
-        x = np.stack([np.frombuffer(r, np.float32) for r in rows["x"]])
+        x = np.stack([np.frombuffer(r, np.float32) for r in rows["x"]]).astype(float)  # once, not at every product
         held = (rows["id_hash"].to_numpy() % 5) == 0
         if len({*y[~held]}) < 2 or len({*y[held]}) < 2:
             held[:] = False

@@ -12,6 +12,7 @@ from .operators import filters as f, search
 from .operators.ivf import IvfIndex
 from .plans.definition import StoreDefinition
 from .plans.engine import Engine
+from .sources.snapshot import SnapshotStorage, shared_folder
 from .store import VectorStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,6 +367,26 @@ def search_metrics(spark, d):
     return m.select("hits", F.round("max_score", 6).alias("max_score"), F.round("min_score", 6).alias("min_score"))
 
 
+@_query("vector_sample", f"SELECT vec_id::VARCHAR AS id, dim::INTEGER AS dim, round(v[dim + 1], 6) AS value FROM ({_EMB}), (SELECT i * 2 AS dim FROM range(32) t(i))")
+def vector_sample(spark, d):
+    """32 evenly spaced dimensions of every vector."""
+    at = F.array(*[F.lit(64 * k // 32) for k in range(32)])
+    picked = F.transform(at, lambda k: F.struct(k.alias("dim"), F.get("vector", k).cast("double").alias("x")))
+    return _emb(spark, d).live().select("id", F.explode(picked).alias("p")).select("id", "p.dim", F.round("p.x", 6).alias("value"))
+
+
+@_query("snapshot_roundtrip", f"SELECT p_partkey::VARCHAR AS id, p_partkey AS seq, p_name AS text, p_brand, p_size::INTEGER AS size, round(p_size::FLOAT::DOUBLE, 6) AS first, round((p_retailprice / 100)::FLOAT::DOUBLE, 4) AS second FROM part WHERE p_brand <> 'Brand#11'")
+def snapshot_roundtrip(spark, d):
+    """A store saved after a deletion and loaded again."""
+    store = _part_vec(spark, d).delete_by_filter(f.eq("p_brand", "Brand#11"))[0]
+    storage = SnapshotStorage(spark, shared_folder(spark, "snapshots"))
+    storage.save(store)
+    loaded = storage.load(store.definition).live()
+    size = F.try_variant_get("metadata", "$.p_size", "int").alias("size")
+    first, second = F.round(F.col("vector")[0].cast("double"), 6), F.round(F.col("vector")[1].cast("double"), 4)
+    return loaded.select("id", "seq", "text", "p_brand", size, first.alias("first"), second.alias("second"))
+
+
 @_query("metadata_eq_by_kind", "SELECT event_id::VARCHAR AS id FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_extract(props, '$.k')::DOUBLE = 3")
 def metadata_eq_by_kind(spark, d):
     rows = _events(spark, d).select(F.col("batch_seq").cast("string").alias("id"), "metadata")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,12 @@ from ..plans.definition import StoreDefinition
 from ..store import VectorStore
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, as in local tests, one of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class SnapshotStorage:
     """Saves and loads stores under ``root/<store name>``.
 

@@ -4,13 +4,13 @@ A text is a multiset of *paragraphs*: its lines with their ends, long ones cut e
 Each paragraph hashes to a wide vector, and the fingerprint is the sum of the vectors modulo powers of two:
 
 * ``WIDE`` components modulo 2**64, for equality;
-* 4 * 16 * ``PACKS`` components modulo 2**16, each 0 or 1 for one paragraph, four to a 64-bit word.
+* 2 * 32 * ``PACKS`` components modulo 2**32, each 0 or 1 for one paragraph, two to a 64-bit word.
 
 So the order of paragraphs doesn't count, the fingerprint of two texts joined is the sum of theirs, and a
 paragraph is inserted or deleted by adding or subtracting its vector (:func:`inserted`, :func:`deleted`).
-A word of four components carries over into its neighbour only beyond 65,535 equal ones; sums stay exact
-as words.  Components of 0 and 1 are centred to -1 and 1 for :func:`likeness`: their products estimate the
-inner product of the multisets.
+A component counts at most one for each paragraph, so at most one for each of a string's fewer than 2**31
+bytes: no sum of one text carries into its neighbour or leaves a long.  Components of 0 and 1 are centred to
+-1 and 1 for :func:`likeness`: their products estimate the inner product of the multisets.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ WORDS = 8
 WIDE = 4
 PACKS = 2
 _SEGMENT = rf"(?:[^\S\n]*+\S++){{1,{WORDS}}}+(?:[^\S\n]*+\n)?+|[^\S\n]*+\n|[^\S\n]++"
-_LANES = 0x0001000100010001
+_LANES = 0x0000000100000001
 
 
 def paragraphs(text: Column) -> Column:
@@ -34,7 +34,7 @@ def paragraphs(text: Column) -> Column:
 def paragraph_vector(paragraph: Column) -> Column:
     """Vector of one paragraph as an array of long."""
     wide = [F.xxhash64(paragraph, F.lit(k)) for k in range(WIDE)]
-    lanes = [F.shiftrightunsigned(F.xxhash64(paragraph, F.lit(100 + p)), k).bitwiseAND(F.lit(_LANES)) for p in range(PACKS) for k in range(16)]
+    lanes = [F.shiftrightunsigned(F.xxhash64(paragraph, F.lit(100 + p)), k).bitwiseAND(F.lit(_LANES)) for p in range(PACKS) for k in range(32)]
     return F.array(F.lit(1).cast("long"), *wide, *lanes)
 
 
@@ -60,7 +60,7 @@ def fingerprint(text: Column) -> Column:
     per = F.transform(segments, lambda s: F.struct(*[F.xxhash64(s, F.lit(k)).alias(f"w{k}") for k in range(WIDE)], *[F.xxhash64(s, F.lit(100 + p)).alias(f"p{p}") for p in range(PACKS)]))
     zero = F.lit(0).cast("long")
     # One pass over the paragraphs: the words modulo 2**64 as two halves each, the packed words as they are.
-    names = ["n", *[f"{h}{k}" for k in range(WIDE) for h in "lh"], *[f"s{p}_{k}" for p in range(PACKS) for k in range(16)]]
+    names = ["n", *[f"{h}{k}" for k in range(WIDE) for h in "lh"], *[f"s{p}_{k}" for p in range(PACKS) for k in range(32)]]
     start = F.struct(*[zero.alias(x) for x in names])
 
     def step(a: Column, s: Column) -> Column:
@@ -69,13 +69,13 @@ def fingerprint(text: Column) -> Column:
             out.append((a[f"l{k}"] + s[f"w{k}"].bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"l{k}"))
             out.append((a[f"h{k}"] + F.shiftrightunsigned(s[f"w{k}"], 32)).alias(f"h{k}"))
         for p in range(PACKS):
-            for k in range(16):
+            for k in range(32):
                 out.append((a[f"s{p}_{k}"] + F.shiftrightunsigned(s[f"p{p}"], k).bitwiseAND(F.lit(_LANES))).alias(f"s{p}_{k}"))
         return F.struct(*out)
 
     def finish(a: Column) -> Column:
         wide = [_wrapping_add(F.shiftleft(a[f"h{k}"], 32), a[f"l{k}"]) for k in range(WIDE)]
-        return F.array(a["n"], *wide, *[a[f"s{p}_{k}"] for p in range(PACKS) for k in range(16)])
+        return F.array(a["n"], *wide, *[a[f"s{p}_{k}"] for p in range(PACKS) for k in range(32)])
 
     return F.aggregate(per, start, step, finish)
 
@@ -93,8 +93,8 @@ def deleted(print_: Column, paragraph: Column) -> Column:
 
 def _centred(print_: Column) -> Column:
     """Components of -1 and 1 summed over the paragraphs, as an array of double."""
-    words = F.slice(print_, 2 + WIDE, 16 * PACKS)
-    lanes = F.flatten(F.transform(words, lambda w: F.array(*[F.shiftrightunsigned(w, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])))
+    words = F.slice(print_, 2 + WIDE, 32 * PACKS)
+    lanes = F.flatten(F.transform(words, lambda w: F.array(*[F.shiftrightunsigned(w, 32 * k).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(2)])))
     return F.transform(lanes, lambda x: (2 * x - print_[0]).cast("double"))
 
 

@@ -143,6 +143,24 @@ def test_fingerprint_is_a_homomorphism(spark):
     assert out["ab"] == out["ba"] == out["s"] and out["back"] == out["a"] and out["x"] == out["ax"]
 
 
+def test_fingerprints_of_many_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    blank, words = "\n" * 100_000, " ".join(f"w{k}" for k in range(1_000_000))
+    docs = rows_of(spark, [(3, blank), (2, words), (1, "\n" * 50_000)])
+    got = {r["doc_id"]: r for r in multiset_hash.edit_likeness(docs).collect()}
+    assert got[1]["near_next"] > 0.999 and got[3]["near_next"] < 0.4 and got[2]["near_edited"] < 0.4  # cosine 0.004: 50,000 equal lines outweigh
+    for d, text in ((3, blank), (2, words)):
+        pieces = spark.createDataFrame([(text,)], "text string").select(F.explode(multiset_hash.paragraphs(F.col("text"))).alias("p")).groupBy("p").count()
+        rows = pieces.select("count", multiset_hash.paragraph_vector(F.col("p")).alias("v")).collect()
+        v = np.array([r["v"] for r in rows]).view(np.uint64)
+        want = (v * np.array([r["count"] for r in rows], np.uint64)[:, None]).sum(axis=0, dtype=np.uint64)
+        assert got[d]["fingerprint"] == "".join(f"{int(x):016X}" for x in want)
+        low, high = v & np.uint64(0xFFFFFFFF), v >> np.uint64(32)
+        lanes = slice(1 + multiset_hash.WIDE, None)
+        assert (low[:, lanes] <= 1).all() and (high[:, lanes] <= 1).all()
+
+
 # ---------------------------------------------------------------- 3
 def test_token_store(spark, odd, none):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

@@ -4,8 +4,10 @@
    A shingle met n times weighs 1 + ln(n).
 2. ProbMinHash: each shingle is a Poisson process with its weight as rate; its arrivals fall on registers
    at random, each register keeps the shingle of its first arrival, and a process stops once it is later
-   than every register of its text.  Two texts agree in a register with their probability Jaccard.
-3. Banding: ``BANDS`` bands of ``ROWS`` registers.  Texts that share a band key are linked to the one with
+   than every register of its text.  Two texts agree in a register with their probability Jaccard.  A text
+   that repeats a shingle gets a second signature with the same processes at weight 1, whose registers agree
+   with the Jaccard of the sets; the two signatures of other texts are equal.
+3. Banding: ``BANDS`` bands of ``ROWS`` registers of each signature.  Texts that share a band key are linked to the one with
    the least digest there, so a key's group is never expanded; components of these links are *groups*, and
    any two texts that share a key are in one group.
 4. Verification is exact, by Jaccard of the sets of shingles, in units of about ``BLOCK`` texts that one
@@ -16,8 +18,8 @@
    within one large class and those whose sizes rule out the similarity.
 5. Components of the links of both passes are the classes.
 
-At a similarity of 0.8 two texts share none of 32 bands of 5 registers with a probability of 3e-6.  Equal
-texts are told by digest and go through steps 2 to 5 once.
+At a similarity of 0.8 two texts share none of 32 bands of 5 registers at weight 1 with a probability of
+(1 - 0.8**5)**32 = 3e-6, however often either repeats a shingle.  Equal texts are told by digest and go through steps 2 to 5 once.
 """
 
 from __future__ import annotations
@@ -98,6 +100,19 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def text_keys(h: np.ndarray, owner: np.ndarray, times: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (n x 2 * bands) of both signatures of each text, and which of them count: each once, none without shingles."""
+    keys = band_keys(prob_minhash(h, owner, 1 + np.log(times), n, bands * rows), bands, rows)
+    repeats = np.bincount(owner, times > 1, minlength=n) > 0
+    at = repeats[owner]
+    number = np.cumsum(repeats) - 1
+    plain = keys.copy()
+    if at.any():
+        plain[repeats] = band_keys(prob_minhash(h[at], number[owner[at]], np.ones(int(at.sum())), int(repeats.sum()), bands * rows), bands, rows)
+    some = np.bincount(owner, minlength=n) > 0
+    return np.hstack([plain, keys]), np.hstack([np.broadcast_to(some[:, None], keys.shape), keys != plain])
+
+
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``doc_id, digest, n_shingles, keys`` of every row; texts without a word have no keys."""
 
@@ -105,10 +120,9 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for first, last, data, offsets in text_blocks(batch.column(1)):
             n = last - first
             h, owner, times = shingles(data, offsets)
-            keys = band_keys(prob_minhash(h, owner, 1 + np.log(times), n, bands * rows), bands, rows).view(np.int64)
+            keys, own = text_keys(h, owner, times, n, bands, rows)
             count = np.bincount(owner, minlength=n)
-            some = count > 0
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]), pa.int32()), pa.array(keys[some].ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own.sum(axis=1))]), pa.int32()), pa.array(keys[own].view(np.int64)))
             yield {"doc_id": batch.column(0)[first:last], "digest": batch.column(2)[first:last], "n_shingles": pa.array(count), "keys": lists}
 
     return arrow_map(docs, "doc_id long, digest binary, n_shingles long, keys array<long>", run)
@@ -254,9 +268,9 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     texts = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     texts = written(texts, "texts")
     # Links of each band key to its least text, with the number of keys that tell them.
-    banded = texts.select("digest", F.posexplode("keys").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    stars = banded.join(heads, ["band", "key"]).where("digest <> head").groupBy("head", "digest").agg(F.count(F.lit(1)).alias("shared"))
+    banded = texts.select("digest", F.explode("keys").alias("key"))
+    heads = banded.groupBy("key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    stars = banded.join(heads, "key").where("digest <> head").groupBy("head", "digest").agg(F.count(F.lit(1)).alias("shared"))
     stars = written(stars, "stars")
     groups = written(connected_components(stars.select(F.col("head").alias("a"), F.col("digest").alias("b"))), "groups")
     near = written(_verified(_with_texts(_near_heads(stars, block), rows_in, texts, n), threshold), "near")

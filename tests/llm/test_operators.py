@@ -239,6 +239,18 @@ def test_near_duplicates_are_brute_force(spark, odd, none):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
 
 
+def test_near_duplicates_that_repeat_unequally(spark):
+    rng, every = random.Random(11), {}
+    for k in range(0, 300, 2):  # pairs at a set Jaccard just over 0.8, of which one repeats a third of it 40 times
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        every[k] = " ".join(words + words[:90] * 40)
+        every[k + 1] = " ".join(words[:-29] + [f"x{rng.randrange(10**9)}" for _ in range(29)])
+        one, two = shingles(every[k]), shingles(every[k + 1])
+        assert 0.8 <= len(one & two) / len(one | two) < 0.82
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes_of(rows_of(spark, every.items())).collect()}
+    assert got == {d: d - d % 2 for d in every}
+
+
 def test_second_pass_covers_what_the_first_leaves_apart(spark):
     node = {k: bytes([k]) for k in range(1, 13)}
     group = {k: 1 if k <= 9 else 10 for k in node}  # two groups: 1 to 9, and 10 to 12, which is one class already

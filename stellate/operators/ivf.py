@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import euclidean, lower_is_better, metric_of, score
 from ..store import VectorStore
+from .search import search_batch
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,28 @@ class IvfIndex:
         return rows.select("id", "seq", "score").orderBy(order, "seq").limit(max(top_k, 1))
 
 
+    def recall(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """``probes, recall``: share of the exact ``top_k`` of all ``queries`` (``query_id, vector``) found with so many lists.
+
+        Scores within a list are exact, so a neighbour is found as soon as its list is probed.
+        """
+        exact = search_batch(self.store, queries, top_k).select("query_id", "id")
+        near = F.array_sort(F.array(*[F.struct(euclidean(F.col("vector"), F.lit(c)).alias("d"), F.lit(k).alias("list")) for k, c in enumerate(self.centers)]))
+        near = queries.select(F.col("query_id").cast("string").alias("query_id"), F.transform(near, lambda x: x["list"]).alias("near"))
+        place = F.array_position("near", F.col("list"))
+        found = exact.join(near, "query_id").join(self.rows.select("id", "list"), "id").select(place.alias("place"))
+        shares = found.agg(F.array(*[F.avg((F.col("place") <= p).cast("double")) for p in range(1, len(self.centers) + 1)]).alias("shares"))
+        return shares.select(F.posexplode("shares").alias("p", "recall")).select((F.col("p") + 1).alias("probes"), "recall")
+
+    def enough(self, recall: float = 0.92, top_k: int = 10, sample: int = 256) -> int:
+        """Least number of probes with the recall over about ``sample`` rows as queries, taken by a hash of the id."""
+        live = self.store.live()
+        share = min(1.0, sample / max(live.count(), 1))
+        queries = live.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)).select(F.col("id").alias("query_id"), "vector")
+        met = [r["probes"] for r in self.recall(queries, top_k).collect() if r["recall"] is not None and r["recall"] >= recall]  # one row a list
+        return min(met, default=len(self.centers))
+
+
 def _nearest(centers: list[list[float]]):
     distances = F.array(*[euclidean(F.col("vector"), F.lit(c)) for c in centers])
     return F.array_position(distances, F.array_min(distances)).cast("int") - 1

@@ -349,6 +349,15 @@ def auto_embed(spark, d):
     return store.live().select("id", F.transform(vectors.doubles(F.col("vector")), lambda x: F.round(x, 5)).alias("vector"))
 
 
+@_query("auto_embed_all", f"SELECT doc_id::VARCHAR AS id, [round(x, 5) FOR x IN {_CV}] AS vector FROM documents WHERE text IS NOT NULL")
+def auto_embed_all(spark, d):
+    """Every document with a text."""
+    engine = Engine(spark, registry=_registry())
+    engine.create_store("docs", StoreDefinition("docs", 8, "COSINE", 10**9, "char"))
+    batch = _table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("batch_seq"), "text")
+    return engine.upsert("docs", batch).live().select("id", F.transform(vectors.doubles(F.col("vector")), lambda x: F.round(x, 5)).alias("vector"))
+
+
 # ---------------------------------------------------------------- profiles
 @_query("vector_profile", "SELECT vec_id::VARCHAR AS id, round(sqrt(list_inner_product(v, v)), 6) AS l2, round(list_min(v), 6) AS least, round(list_max(v), 6) AS greatest, round(list_avg(v), 6) AS mean, round(list_var_pop(v), 6) AS variance FROM (" + _SCALED + ")")
 def vector_profile(spark, d):

@@ -46,16 +46,17 @@ def _thresholded(rows: DataFrame, metric: str, min_score: float | None) -> DataF
     return rows.where(F.col("score") <= min_score if lower_is_better(metric) else F.col("score") >= min_score)
 
 
-def search_by_vector(store: VectorStore, vector: list[float], top_k: int = 10, min_score: float | None = None, condition: Filter | None = None, payload: bool = True) -> DataFrame:
+def search_by_vector(store: VectorStore, vector: list[float], top_k: int | None = 10, min_score: float | None = None, condition: Filter | None = None, payload: bool = True) -> DataFrame:
     """``id, seq, score[, text, metadata]`` of the best ``top_k`` (at least 1), best first; ties by ``seq``.
 
-    ``min_score`` is a lower bound, for Euclidean an upper one.
+    ``min_score`` is a lower bound, for Euclidean an upper one.  Without a ``top_k`` (None) all rows come.
     """
     metric = metric_of(store.definition.metric)
     rows = _thresholded(scored(store, vector, condition), metric, min_score)
     order = F.col("score").asc() if lower_is_better(metric) else F.col("score").desc()
     kept = ["id", "seq", "score", "text", "metadata"] if payload else ["id", "seq", "score"]
-    return rows.select(*kept).orderBy(order, "seq").limit(max(top_k, 1))
+    ranked = rows.select(*kept).orderBy(order, "seq")
+    return ranked if top_k is None else ranked.limit(max(top_k, 1))
 
 
 def with_payload(hits: DataFrame, store: VectorStore) -> DataFrame:

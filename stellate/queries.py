@@ -105,15 +105,15 @@ _query("topk_euclidean", _topk(_SCALED, "EUCLIDEAN"))(_search("scaled", "EUCLIDE
 _query("topk_metric_alias_ip", _topk(_SCALED, "DOT_PRODUCT"))(_search("scaled", "ip"))
 _query("topk_metric_alias_l2", _topk(_SCALED, "EUCLIDEAN"))(_search("scaled", "l2"))
 _query("topk_metric_unknown", _topk(_SCALED))(_search("scaled", "manhattan"))
-_query("topk_zero_vector", _topk(_ZERO, k=1000000))(_search("zero", "COSINE", top_k=1000000))
+_query("topk_zero_vector", _topk(_ZERO, k=1000000))(_search("zero", "COSINE", top_k=None))
 _query("topk_k_floor", _topk(k=1))(_search("plain", "COSINE", top_k=0))
 _query("topk_filter_eq", _topk(where="label = 3"))(_search("plain", "COSINE", condition=f.eq("label", 3)))
 _query("topk_filter_in", _topk(where="label IN (1, 2)"))(_search("plain", "COSINE", condition=f.in_("label", [1, 2])))
 _query("topk_filter_in_nulls", _topk(where="label IN (1, 2)"))(_search("plain", "COSINE", condition=f.in_("label", [None, 1, 2])))
 _query("topk_filter_eq_null", _topk(where="false"))(_search("plain", "COSINE", condition=f.eq("label", None)))
 _query("topk_filter_kind", _topk(where="false"))(_search("plain", "COSINE", condition=f.eq("label", "3")))
-_query("topk_min_score_cosine", _topk(having="score >= 0.2", k=1000000))(_search("plain", "COSINE", top_k=1000000, min_score=0.2))
-_query("topk_max_distance_l2", _topk(_SCALED, "EUCLIDEAN", having="score <= 2.5", k=1000000))(_search("scaled", "EUCLIDEAN", top_k=1000000, min_score=2.5))
+_query("topk_min_score_cosine", _topk(having="score >= 0.2", k=1000000))(_search("plain", "COSINE", top_k=None, min_score=0.2))
+_query("topk_max_distance_l2", _topk(_SCALED, "EUCLIDEAN", having="score <= 2.5", k=1000000))(_search("scaled", "EUCLIDEAN", top_k=None, min_score=2.5))
 _query("ext_filter_range", _topk(where="label BETWEEN 2 AND 5"))(_search("plain", "COSINE", condition=f.between("label", 2, 5)))
 _query("ext_filter_gt_lt", _topk(where="label > 6 OR label < 1"))(_search("plain", "COSINE", condition=f.gt("label", 6) | f.lt("label", 1)))
 _query("ext_filter_bool", _topk(where="NOT (label = 1 OR label = 2) AND label <= 7"))(_search("plain", "COSINE", condition=~(f.eq("label", 1) | f.eq("label", 2)) & f.le("label", 7)))
@@ -372,6 +372,13 @@ def dim_contribution(spark, d):
     return rows.select("id", F.posexplode(vectors.contributions(F.col("vector"), F.lit(q))).alias("dim", "c")).select("id", "dim", F.round("c", 9).alias("contribution"))
 
 
+@_query("dim_contribution_all", f"SELECT vec_id::VARCHAR AS id, dim::INTEGER AS dim, round(v[dim + 1] * q[dim + 1], 9) AS contribution FROM ({_EMB}), ({_Q0}), range(64) t(dim)")
+def dim_contribution_all(spark, d):
+    """Every vector."""
+    rows = _emb(spark, d).live()
+    return rows.select("id", F.posexplode(vectors.contributions(F.col("vector"), F.lit(_vector(spark, d)))).alias("dim", "c")).select("id", "dim", F.round("c", 9).alias("contribution"))
+
+
 @_query("display_similarity", f"SELECT id, round(1 / (1 + s), 6) AS shown, CASE WHEN 1 / (1 + s) >= 0.9 THEN 'very high' WHEN 1 / (1 + s) >= 0.75 THEN 'high' WHEN 1 / (1 + s) >= 0.6 THEN 'medium' WHEN 1 / (1 + s) >= 0.4 THEN 'low' ELSE 'very low' END AS label FROM (SELECT vec_id::VARCHAR AS id, {_SCORES['EUCLIDEAN'].format(a='q', b='v')} AS s FROM ({_SCALED}), ({_Q0}))")
 def display_similarity(spark, d):
     rows = search.scored(_emb(spark, d, "EUCLIDEAN", "scaled"), _vector(spark, d))

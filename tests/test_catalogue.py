@@ -61,3 +61,12 @@ def test_ivf_probes_reach_the_recall(spark):
     hits = sum(len(exact[str(r["query_id"])] & {h["id"] for h in index.search(list(r["vector"]), 10, 2).collect()}) for r in some.collect())
     two = {r["probes"]: r["recall"] for r in index.recall(some).collect()}[2]
     assert abs(hits / sum(map(len, exact.values())) - two) < 1e-9
+
+
+def test_searches_without_k_have_no_limit(spark):
+    from stellate.operators.search import search_by_vector
+
+    store = queries._emb(spark, FOLDER)
+    assert search_by_vector(store, queries._vector(spark, FOLDER), None).count() == store.live().count()
+    for name in ("topk_zero_vector", "topk_min_score_cosine", "topk_max_distance_l2"):
+        assert "Limit" not in queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()

@@ -179,9 +179,22 @@ _FIND: dict[str, tuple[re.Pattern, Callable[[Feistel, str], str | None]]] = {
     "card": (re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"), _card),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
     "phone": (re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"), _phone),
-    "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![\w/-]|\.\d)"), _date),
+    "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![\w/-]|\.\d))"), _date),
 }
 _DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"\w")
+
+
+def _ibans(text: str, permute: Feistel) -> Iterator[tuple[int, int, str]]:
+    """Start, end and pseudonym of IBANs: what may be one is cut at word ends until mod 97 holds, longest first."""
+    at = 0
+    while m := _FIND["iban"][0].search(text, at):
+        a, at = m.start(), m.start() + 1
+        for b in range(m.end(), a + 14, -1):
+            if text[b - 1] != " " and not _WORD.match(text, b) and (new := _iban(permute, text[a:b])) is not None:
+                yield a, b, new
+                at = b
+                break
 
 
 def find(text: str, permute: Feistel) -> list[tuple[int, int, str, str]]:
@@ -192,11 +205,11 @@ def find(text: str, permute: Feistel) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     for kind in kinds:
         pattern, make = _FIND[kind]
-        for m in pattern.finditer(text):
-            a, b = m.span()
+        spans = _ibans(text, permute) if kind == "iban" else ((*m.span(), None) for m in pattern.finditer(text))
+        for a, b, new in spans:
             if any(a < y and x < b for x, y, _, _ in found):
                 continue
-            new = make(permute, m.group())
+            new = new or make(permute, text[a:b])
             if new is not None:
                 found.append((a, b, kind, new))
     return sorted(found)

@@ -346,6 +346,15 @@ def test_pseudonyms_keep_their_format(spark, odd, none):
     assert {*odd.columns} < {*got.columns} and got.count() == 8 and pii.pseudonymize(none).count() == 0
 
 
+def test_ibans_before_words_and_dates_before_times():
+    for iban, after in (("ES91 2100 0418 4502 0005 1332", " BIC"), ("BE68 5390 0754 7034", " EUR"), ("BE68539007547034", " 100"), ("BE68 5390 0754 7034", " DE89 3704 0044 0532 0130 00")):
+        found = pii.find(f"to {iban}{after}", pii.Feistel(b"k"))
+        assert found[0][:3] == (3, 3 + len(iban), "iban") and found[0][3] != iban
+        assert [k for _, _, k, _ in found] == ["iban"] * (2 if "DE89" in after else 1)
+    assert [x[:3] for x in pii.find("AB12 CDEF BE68 5390 0754 7034 EUR", pii.Feistel(b"k"))] == [(10, 29, "iban")]
+    assert [x[:3] for x in pii.find("at 2024-02-29T10:15:00Z, 2024-02-29Tx", pii.Feistel(b"k"))] == [(3, 13, "date")]
+
+
 # ---------------------------------------------------------------- 7
 def brute_base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")

@@ -1,10 +1,13 @@
 """Token ids of the public vocabularies as little-endian unsigned 32-bit bytes.
 
-``ByteLevelIds`` runs the vocabulary of a byte-level ``tokenizers`` file on the ``tiktoken`` engine, which
-gives the same ids several times faster (the tests hold both libraries against each other).  ``WordIds``
-runs the ``tokenizers`` library itself and remembers words that it has met: BPE never looks across a cut
-between words, so the ids of a text are the ids of its words in a row.  That memory is bounded: it is
-emptied when it is full.
+Ids are those of the ``tokenizers`` library with ``add_special_tokens=False``; a special token's string in
+a text has that token's id, as the library has it.  ``ByteLevelIds`` runs the vocabulary of a byte-level
+file on the ``tiktoken`` engine, which gives the same ids several times faster (the tests hold both
+libraries against each other); texts with ``<|``, where a special token may stand, or with a run of
+``LONGEST_RUN`` spaces or other characters, which overflows that engine's stack, go to the library.
+``WordIds`` runs the library and remembers words that it has met: BPE never looks across a cut between
+words, so the ids of a text are the ids of its words in a row.  That memory is bounded in entries and
+in bytes: it is emptied when it is full, and long keys aren't kept.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ import os
 import re
 from collections.abc import Callable
 
-#: Most words that a worker remembers.
-MEMORY = 900_000
+#: Most words that a worker remembers, and the longest one in characters.
+MEMORY, LONGEST_KEY = 900_000, 64
+#: A longer run of white space, or of anything else, is the library's.
+LONGEST_RUN = 4000
 _loaded: dict[str, object] = {}
 
 
@@ -28,13 +33,20 @@ def loaded(key: str, make: Callable[[], object]) -> object:
 
 
 def tokenizer(path: str):
-    """The library's tokenizer; the strings of special tokens are ordinary text for it."""
+    """The library's tokenizer."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+def library_ids(library, text: str) -> bytes:
+    return array.array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def most_id(path: str) -> int:
+    """The largest id of a vocabulary, special tokens among them."""
+    return max(tokenizer(path).get_vocab(with_added_tokens=True).values())
 
 
 def shown_bytes() -> list[str]:
@@ -60,22 +72,30 @@ class ByteLevelIds:
             vocabulary = json.load(f)["model"]["vocab"]
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
         self.engine = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tokenizer(path)
+        self.long = re.compile(rf"\s{{{LONGEST_RUN}}}|\S{{{LONGEST_RUN}}}").search
 
     def __call__(self, text: str | None) -> bytes:
-        return array.array("I", self.engine.encode_ordinary(text)).tobytes() if text else b""
+        if not text:
+            return b""
+        if "<|" in text or (len(text) >= LONGEST_RUN and self.long(text)):
+            return library_ids(self.whole, text)
+        return array.array("I", self.engine.encode_ordinary(text)).tobytes()
 
 
 class _Memory(dict):
-    """dict of bounded size that computes what it misses."""
+    """dict of bounded size that computes what it misses; keys beyond ``LONGEST_KEY`` are not kept."""
 
     def __init__(self, compute: Callable[[str], bytes], limit: int):
         super().__init__()
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= LONGEST_KEY:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -88,8 +108,8 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 class WordIds:
     """Ids of the lower-case word BPE (``tokenizers`` JSON); null and empty texts have none.
 
-    Texts of Latin-1 characters are lower-cased and cut here and each of their words goes to the
-    library's BPE once; any other text goes to the library as a whole.
+    Texts of Latin-1 characters without ``<|`` are lower-cased and cut here and each of their words goes to
+    the library's BPE once; any other text goes to the library as a whole.
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
@@ -108,8 +128,10 @@ class WordIds:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if "<|" in text:
+            return library_ids(self.whole, text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return library_ids(self.whole, text)
         return b"".join(map(self.words.__getitem__, self.cut(text.lower())))

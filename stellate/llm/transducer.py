@@ -6,7 +6,7 @@ joined bytes gives the pair back.  A *configuration* is a place where a token ma
 node of the bytes since then, the token that ends there, and the tokens on the way there that are not
 emitted yet.  A *state* is the set of configurations that bytes to come can still reach; what all of them
 share is emitted.  A configuration dies when no token goes on, so output lags by one token's length at
-most.  States and steps are made when first met and kept up to a bound.
+most.  States and steps are made when first met and kept up to a bound, which a single long piece meets too.
 """
 
 from __future__ import annotations
@@ -157,14 +157,17 @@ class Transducer:
         """Ids of one piece as little-endian unsigned 32-bit bytes."""
         if not piece:
             return b""
-        if len(self.states) > self.limit:
-            self._clear()
-        out, state, step = b"", self.start, self._step
-        for b in piece:
-            emitted, state = state.get(b) or step(state, b)
-            if emitted:
-                out += emitted
-        return out + state[self._FINAL]
+        out, state, step = bytearray(), self.start, self._step
+        for at in range(0, len(piece), 4096):
+            if len(self.states) > self.limit:
+                here = state[self._CONFIGURATIONS]
+                self._clear()
+                state = self._state(here)
+            for b in piece[at : at + 4096]:
+                emitted, state = state.get(b) or step(state, b)
+                if emitted:
+                    out += emitted
+        return bytes(out + state[self._FINAL])
 
 
 #: Unicode white space.  A text can be cut where white space follows something else: no match spans such a place.

@@ -11,7 +11,9 @@ pseudonyms in every document, different ones different ones, and a pseudonym pas
 * e-mail addresses: letters and digits of the local part, each within its kind, case and marks kept.
 
 The permutation of 0..size-1 is a Feistel network over pairs (left, right) of a square-like domain of at
-least that size, walked again while the result lies beyond ``size``.
+least that size, walked again while the result lies beyond ``size``.  Local parts beyond ``CHUNK``
+characters are permuted chunk by chunk, each under a digest of the chunks before it.  The key is the
+caller's: whoever has it can undo the pseudonyms.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ from pyspark.sql import DataFrame
 
 from .common import kept_columns, quoted
 
-ROUNDS = 10
+ROUNDS, CHUNK = 10, 64
 KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "date")
 
 
 class Feistel:
-    """Keyed permutations of ranges of integers."""
+    """Keyed permutations of ranges of integers of at most 800 bits."""
 
     def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.key = hashlib.sha256(key).digest()
 
     def __call__(self, value: int, size: int, tweak: str) -> int:
@@ -48,7 +52,8 @@ class Feistel:
             for k in range(ROUNDS):
                 source, modulus = (right, left_size) if k % 2 == 0 else (left, right_size)
                 message = f"{tweak}|{size}|{k}|{source}".encode()
-                pad = int.from_bytes(hashlib.blake2b(message, key=self.key, digest_size=32 if modulus < 1 << 192 else 64).digest(), "big")
+                # 64 bits more than the modulus has, so that every remainder is about as likely.
+                pad = int.from_bytes(hashlib.blake2b(message, key=self.key, digest_size=modulus.bit_length() // 8 + 9).digest(), "big")
                 if k % 2 == 0:
                     left = (left + pad) % left_size
                 else:
@@ -136,6 +141,13 @@ def _date(p: Feistel, text: str) -> str | None:
 
 def _mixed(p: Feistel, text: str, tweak: str) -> str:
     """Letters and digits permuted together, each within its kind; everything else and the case stay."""
+    if len(text) > CHUNK:
+        out, before = [], hashlib.blake2b(digest_size=16)
+        for at in range(0, len(text), CHUNK):
+            part = text[at : at + CHUNK]
+            out.append(_mixed(p, part, f"{tweak}|{at}|{before.hexdigest()}|" if at else tweak))
+            before.update(part.lower().encode("utf-8", "surrogatepass"))
+        return "".join(out)
     value, size, radices = 0, 1, []
     for c in text:
         low = c.lower()
@@ -173,7 +185,7 @@ def _iban(p: Feistel, text: str) -> str | None:
 
 #: What may be a value of each kind, and what validates and permutes it; earlier kinds go first where two overlap.
 _FIND: dict[str, tuple[re.Pattern, Callable[[Feistel, str], str | None]]] = {
-    "email": (re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"), _email),
+    "email": (re.compile(r"[\w.%+-]++(?:@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})?"), _email),  # takes whole runs, so no run is scanned twice
     "ip": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), _ip),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
     "card": (re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"), _card),
@@ -198,38 +210,49 @@ def _ibans(text: str, permute: Feistel) -> Iterator[tuple[int, int, str]]:
 
 
 def find(text: str, permute: Feistel) -> list[tuple[int, int, str, str]]:
-    """Validated values in order: start, end, kind, pseudonym.  They don't overlap."""
+    """Validated values in order: start, end, kind, pseudonym.  They don't overlap.
+
+    Time grows in proportion to the text: no pattern scans a run of characters again from each of them,
+    and the values of a kind are merged with those found before, both in order.
+    """
     kinds = ["email"] if "@" in text else []
     if _DIGIT.search(text):
         kinds += [k for k in KINDS if k != "email"]
     found: list[tuple[int, int, str, str]] = []
     for kind in kinds:
         pattern, make = _FIND[kind]
-        spans = _ibans(text, permute) if kind == "iban" else ((*m.span(), None) for m in pattern.finditer(text))
+        if kind == "iban":
+            spans = _ibans(text, permute)
+        else:
+            spans = ((*m.span(), None) for m in pattern.finditer(text) if kind != "email" or "@" in m[0])
+        more, k = [], 0
         for a, b, new in spans:
-            if any(a < y and x < b for x, y, _, _ in found):
+            while k < len(found) and found[k][1] <= a:
+                k += 1
+            if k < len(found) and found[k][0] < b:
                 continue
             new = new or make(permute, text[a:b])
             if new is not None:
-                found.append((a, b, kind, new))
-    return sorted(found)
+                more.append((a, b, kind, new))
+        found = sorted(found + more)
+    return found
 
 
 ADDED = "private_spans array<struct<start: int, end: int, kind: string>>, n_private long"
 
 
-def pseudonymize(docs: DataFrame, key: bytes = b"corpus") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """All columns of ``docs`` with ``text`` pseudonymised, ``private_spans`` (of the old text) and ``n_private``.
 
-    Spans count code points.  Null texts stay null with no span.  Columns of the input that clash with the
+    ``key`` must not be empty and is to be kept secret.  Spans count code points.  Null texts stay null with no span.  Columns of the input that clash with the
     added ones are replaced.
     """
     added = ["private_spans", "n_private"]
     rows = docs.select(*[quoted(c) for c in kept_columns(docs, added)])
     at = [c.lower() for c in rows.columns].index("text")
+    permute = Feistel(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        permute = Feistel(key)
         for batch in batches:
             texts, spans = [], []
             for text in batch.column(at).to_pylist():

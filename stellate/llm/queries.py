@@ -42,9 +42,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's key of pseudonyms (``spark.stellate.pii.key``); without one a public key for demonstrations, which hides nothing."""
+    return spark.conf.get("spark.stellate.pii.key", "public demonstration key").encode()
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data pseudonymised."""
-    return pii.pseudonymize(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_private", F.array_join("private_spans.kind", ",").alias("kinds"))
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_private", F.array_join("private_spans.kind", ",").alias("kinds"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ The script of a word, told by code point ranges, leaves the languages that are w
 character n-grams score these; Viterbi with a penalty for each switch of language then labels every word,
 which gives spans.  The language of a text is the one with most letters in its spans.
 
-The model learns n-gram counts from at most ``sample`` labelled rows (documented bound, taken by a hash of
-the id), and keeps the ``GRAMS`` most frequent n-grams of each language.
+The model learns n-gram counts from about ``sample`` labelled rows (documented bound, taken by a hash of
+the id; rows that repeat an id come together, and only counts leave the tasks), and keeps the ``GRAMS``
+most frequent n-grams of each language.  More than ``MOST_LANGUAGES`` languages are an error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_map
 
-GRAMS, SMOOTHING, SWITCH = 8000, 0.5, 6.0
+GRAMS, MOST_LANGUAGES, SMOOTHING, SWITCH = 8000, 127, 0.5, 6.0
 #: Words of which a worker remembers the scores.
 MEMORY = 600_000
 #: A script belongs to a language if at least this share of the language's letters is written in it.
@@ -47,8 +48,14 @@ def script(c: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (characters that ``isalpha``) in lower case."""
+    out = []
+    for w in _WORD.findall(text.lower()) if text else []:
+        if w.isalpha():
+            out.append(w)
+        else:  # with numbers that are no digits, as in superscripts, fractions and Roman numerals
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def grams(word: str) -> list[str]:
@@ -84,6 +91,8 @@ def fit(rows: DataFrame, sample: int = 8000) -> dict:
         keys = list(found)
         yield {"lang": pa.array([k[0] for k in keys], pa.string()), "gram": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([found[k] for k in keys], pa.int64())}
 
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = arrow_map(rows.select("text", "lang"), "lang string, gram string, n long", count).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", F.substring("gram", 1, 1)).orderBy(F.desc("n"), "gram")
     kept = counts.withColumn("k", F.row_number().over(by)).where(F.col("k") <= GRAMS).collect()  # GRAMS rows a language
@@ -113,11 +122,13 @@ class Scorer:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.table = np.zeros((1024, self.k), np.float32)
+        self.told = np.zeros(1024, bool)  # whether a language is written in the word's script
+        self.held = 0  # characters of the words
 
-    def _score(self, word: str) -> np.ndarray:
+    def _score(self, word: str) -> np.ndarray | None:
         allowed = self.model["scripts"].get(script(word[0]))
         if allowed is None or not allowed.any():
-            return np.zeros(self.k, np.float32)  # no candidate: the word says nothing
+            return None  # no candidate: the word says nothing
         known, unseen = self.model["grams"], self.model["unseen"]
         s = sum((known.get(g, unseen) for g in grams(word)), np.zeros(self.k, np.float32))
         s = s - s.max()
@@ -129,12 +140,16 @@ class Scorer:
             n = number[w] = len(number)
             if n >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[n] = self._score(w)
+                self.told = np.concatenate([self.told, np.zeros_like(self.told)])
+            found = self._score(w)
+            self.held += len(w)
+            if found is not None:
+                self.table[n], self.told[n] = found, True
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
     def rest(self) -> None:
         """Called between blocks: forgets if too much is remembered."""
-        if len(self.number) > MEMORY:
+        if len(self.number) > MEMORY or self.held > 16 * MEMORY:
             self._clear()
 
 
@@ -195,9 +210,11 @@ PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, span
 def predict(docs: DataFrame, model: dict, penalty: float = SWITCH) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, spans`` for every row.
 
-    ``score`` is the share of letters in spans of the predicted language; ties go to the first language in
-    alphabetical order.  A null text, or one without a letter, is ``und`` with score 0 and no span, as is
-    every text for a model without languages.  A span counts words from 0.  Only the text is looked at.
+    ``score`` is the share of letters that are in spans of the predicted language and in a word whose script
+    some language is written in; ties go to the first language in alphabetical order, as does, with score
+    0, a text in scripts that no language is written in.  A null text, or one without a letter, is ``und``
+    with score 0 and no span, as is every text for a model without languages.  A span counts words from 0.
+    Only the text is looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +243,8 @@ def predict(docs: DataFrame, model: dict, penalty: float = SWITCH) -> DataFrame:
                     o = owner[f]
                     spans[o].append({"start": int(f - begin[o]), "words": e - f, "lang": langs[labels[f]]})
                 pred = [langs[top[i]] if total[i] else "und" for i in range(len(lists))]
-                share = np.where(total > 0, mass[np.arange(len(lists)), top] / np.maximum(total, 1), 0.0)
+                sure = np.bincount(owner, weights=letters * (scorer.told[flat] & (labels == top[owner])), minlength=len(lists)) if langs else total
+                share = sure / np.maximum(total, 1)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(pred, pa.string()), pa.array(share), pa.array(spans, kind)], names=names)
                 scorer.rest()
 

@@ -25,14 +25,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is read from the session.  Only where it is unset, as in local tests, a temporary
-    folder is made and set as the checkpoint directory.
+    The setting is read from the session.  Where it is unset a local master, as in tests, gets a temporary
+    folder, set as the checkpoint directory; any other one is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jvm_dir.get() if jvm_dir.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -45,6 +47,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than 1 / HOT of all rows is hot; there are fewer than HOT of these, however large the data.
+HOT = 1024
+
+
+def joined(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``: one row for each ``on``, and ``n``, how many of ``rows`` have it.
+
+    ``total`` is the number of ``rows``.  Hot keys are fewer than ``HOT``, so their part of the table is
+    broadcast and their rows stay where they are; the shuffled join of the others has no larger group.
+    ``n`` is left out.  A row with a null key joins nothing.  ``table`` must be cheap to read (a written one).
+    """
+    is_hot = F.col("n") > total / HOT
+    if table.where(is_hot).isEmpty():
+        return rows.join(table.drop("n"), on, how)
+    hot = F.broadcast(table.where(is_hot).drop("n"))
+    names = F.broadcast(table.where(is_hot).select(F.col(on)))
+    cold = rows.join(names, on, "left_anti").join(table.where(~is_hot).drop("n"), on, how)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,15 +15,21 @@ def located(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(uri)
 
 
+def own_name(stem: str, suffix: str) -> str:
+    """A name that no other attempt of the task uses: whatever attempts do, they never write one file twice.
+
+    Readers go by a table of names that Spark has committed, so files of other attempts are never met.
+    """
+    return f"{stem}-{uuid.uuid4().hex}{suffix}"
+
+
 def put(uri: str, parts: list[bytes]) -> None:
-    """Write under a name of this attempt's own, then rename: a lost or repeated task leaves no half file."""
+    """Write a file under a name of this attempt's own; nothing is renamed, which not every store can."""
     system, path = located(uri)
-    own = f"{path}.{uuid.uuid4().hex}.part"
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(own) as out:
+    with system.open_output_stream(path) as out:
         for part in parts:
             out.write(part)
-    system.move(own, path)
 
 
 class RangeFile:

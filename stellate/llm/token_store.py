@@ -19,7 +19,8 @@ fingerprint turns away foreign keys but for one in 2**32.  A lookup reads the he
 two offsets and the ids, whatever the size of the shard.
 
 Documents stand in ascending ``doc_id`` order over all shards, null ids first.  Rows that share a
-``doc_id`` are neighbours, and the index leads to the first of them.
+``doc_id`` follow each other in the order of a hash of their texts, over several shards if there are many,
+and a lookup finds the first of them.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import U64, arrow_map, mix, shared_dir, shuffle_partitions, written
-from .files import RangeFile, put
-from .tokens import WordIds, loaded
+from .files import RangeFile, own_name, put
+from .tokens import WordIds, loaded, most_id
 
 MAGIC = b"TIDSHRD1"
 HEADER = struct.Struct("<8sII4Q")
@@ -150,16 +151,23 @@ class Shard:
         return np.where(entries[slot, 0] == _fingerprints(h), entries[slot, 1].astype(np.int64), -1)
 
 
-def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1, width: int = 2, shard_limit: int = 32 << 20, uri: str | None = None) -> DataFrame:
+def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1, width: int | None = None, shard_limit: int = 32 << 20, uri: str | None = None) -> DataFrame:
     """Encode whole texts, append ``end_id``, write shards in ascending ``doc_id`` order; returns the manifest.
 
     Null and empty texts hold the end id alone.  A shard closes at ``shard_limit`` bytes; a longer
-    document has one of its own.  The manifest (one row per shard) is a written table.
+    document has one of its own.  ``width`` is 2 or 4 bytes an id, by default what the vocabulary needs; one
+    that it doesn't fit is an error.  The manifest (one row per shard) is a written table.
     """
     spark = docs.sparkSession
     uri = uri or shared_dir(spark, "tokens")
+    needed = 2 if max(most_id(vocabulary), end_id) < 1 << 16 else 4
+    width = width or needed
+    if width not in (2, 4) or width < needed:
+        raise ValueError(f"ids of this vocabulary take {needed} bytes, not {width}")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The hash deals rows that share an id over ranges too.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "text")
     kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +177,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1, width: int =
         ids: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            path = f"{uri}/shard-{part:06d}-{number:05d}.tid"
+            path = own_name(f"{uri}/shard-{part:06d}-{number:05d}", ".tid")
             put(path, shard_bytes(doc_ids, ids, width))
             known = [d for d in doc_ids if d is not None] or [None]
             row = [path, part, number, len(ids), sum(map(len, ids)), known[0], known[-1]]
@@ -198,8 +206,11 @@ def read_store(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     ``start`` counts the ids of all documents before it over the whole store.  Raises if the index of a
     shard leads a document elsewhere.
     """
-    before = F.sum("n_tokens").over(Window.orderBy("part", "number")) - F.col("n_tokens")  # over one row per shard
-    shards = manifest.select("path", before.alias("base")).repartition(shuffle_partitions(spark), "path")
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))  # at most one row a shuffle partition
+    parts = parts.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("above"))
+    before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")
+    shards = manifest.select("part", "path", before.alias("before")).join(F.broadcast(parts), "part")
+    shards = shards.select("path", (F.col("above") + F.col("before")).alias("base")).repartition(shuffle_partitions(spark), "path")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -224,20 +235,24 @@ def read_store(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Ids of the documents whose ``doc_id`` is among ``keys``: ``doc_id, ids`` (array of int).
 
-    A key goes to the shards whose id range holds it and reads only its own ranges there.
+    A key goes to the shards whose id range holds it and reads only its own ranges there; the first shard
+    that has it counts.
     """
-    found = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().join(manifest.where("first_id is not null").select("path", "first_id", "last_id"), F.expr("doc_id between first_id and last_id"))
+    ranges = manifest.where("first_id is not null").select("path", "part", "number", "first_id", "last_id")
+    found = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().join(ranges, F.expr("doc_id between first_id and last_id"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         shards: dict[str, Shard] = {}
-        doc_ids, ids = [], []
-        for d, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows = []
+        for d, path, part, number in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if path not in shards:
                 shards.clear()
                 shards[path] = Shard(path)
             got = shards[path].lookup(d)
             if got is not None:
-                doc_ids.append(d), ids.append(got)
-        yield {"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))}
+                rows.append((d, part, number, got.astype(np.int32)))
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        yield {"doc_id": pa.array(columns[0], pa.int64()), "part": pa.array(columns[1], pa.int32()), "number": pa.array(columns[2], pa.int32()), "ids": pa.array(columns[3], pa.list_(pa.int32()))}
 
-    return arrow_map(found.select("doc_id", "path").sortWithinPartitions("path"), "doc_id long, ids array<int>", run)
+    read = arrow_map(found.select("doc_id", "path", "part", "number").sortWithinPartitions("path"), "doc_id long, part int, number int, ids array<int>", run)
+    return read.groupBy("doc_id").agg(F.min_by("ids", F.struct("part", "number")).alias("ids"))

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_map, shared_dir, shuffle_partitions, written
-from .files import RangeFile, put
+from .common import arrow_map, joined, shared_dir, shuffle_partitions, written
+from .files import RangeFile, own_name, put
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -213,9 +213,13 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, package_limit: int =
     uri = uri or shared_dir(spark, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html.cast("binary")).alias("_digest"))
-    # Only payloads met more than once need their response's id.
-    again = rows.where(F.octet_length("html") >= least_bytes).groupBy("_digest").agg(F.max("page_id").alias("_response"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(again, "_digest", "left")
+    # Only payloads met more than once need their response's id.  Pages of a hot payload get it where they
+    # are, without a shuffle; the others cross one, a payload's group being at most a small share of all.
+    sized = pages.select(F.col("page_id").cast("long"), F.octet_length(html).alias("bytes"), F.sha1(html.cast("binary")).alias("_digest"))
+    counts = sized.where(F.col("bytes") >= least_bytes).groupBy("_digest").agg(F.max("page_id").alias("_response"), F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "payloads")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = joined(rows, counts.where("n > 1"), "_digest", total, "left")
     other = F.col("_response").isNotNull() & (F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_response"))
     rows = rows.select("page_id", "url", "html", F.when(other, F.col("_response")).alias("refers_to"))
 
@@ -225,7 +229,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, package_limit: int =
         index: list[bytes] = []
 
         def close() -> pa.RecordBatch:
-            path = f"{uri}/pages-{part:06d}-{number:05d}.zip"
+            path = own_name(f"{uri}/pages-{part:06d}-{number:05d}", ".zip")
             put(path, zip_bytes([(ARCHIVE, records), (INDEX, index)], zip64))
             return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([len(records)], pa.int64())})
 

@@ -30,12 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import U64, arrow_map, mix, shuffle_partitions, span_hashes, text_blocks, window_hashes, word_spans, written
+from .common import U64, arrow_map, joined, mix, shuffle_partitions, span_hashes, text_blocks, window_hashes, word_spans, written
 from .components import connected_components
 
 SHINGLE, BANDS, ROWS, BLOCK = 5, 32, 5, 256
-#: A text with more than 1 / HOT of all rows has its class broadcast.
-HOT = 1024
 THRESHOLD = 0.8
 
 
@@ -237,7 +235,11 @@ def _across(groups: DataFrame, first: DataFrame, texts: DataFrame, threshold: fl
     spans = blocks.groupBy("component", "at").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     # Pairs of blocks of one group whose sizes allow the similarity: |small| >= threshold * |large|.
     other = spans.select("component", F.col("at").alias("at2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = spans.join(other, "component").where((F.col("at") <= F.col("at2")) & (F.col("high") >= threshold * F.col("low2") - 1e-6) & (F.col("high2") >= threshold * F.col("low") - 1e-6))
+    # A group with many blocks is cut into chunks of them, each of which meets all of the group's blocks.
+    chunks = spans.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("chunks"))
+    spans = spans.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("at"), F.col("chunks")).cast("int"))
+    other = other.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = spans.join(other, ["component", "chunk"]).where((F.col("at") <= F.col("at2")) & (F.col("high") >= threshold * F.col("low2") - 1e-6) & (F.col("high2") >= threshold * F.col("low") - 1e-6))
     pairs = pairs.where((F.col("at.lane") != F.col("at2.lane")) | (F.col("at.lane") == F.lit(b"")))
     unit = F.xxhash64("component", "at", "at2").alias("unit")
     sides = pairs.select("component", "at", unit, F.lit(0).alias("side")).union(pairs.where("at < at2").select("component", "at2", unit, F.lit(1).alias("side")))
@@ -269,8 +271,9 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     texts = written(texts, "texts")
     # Links of each band key to its least text, with the number of keys that tell them.
     banded = texts.select("digest", F.explode("keys").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    stars = banded.join(heads, "key").where("digest <> head").groupBy("head", "digest").agg(F.count(F.lit(1)).alias("shared"))
+    heads = written(banded.groupBy("key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
+    paired = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    stars = joined(banded, heads, "key", paired).where("digest <> head").groupBy("head", "digest").agg(F.count(F.lit(1)).alias("shared"))
     stars = written(stars, "stars")
     groups = written(connected_components(stars.select(F.col("head").alias("a"), F.col("digest").alias("b"))), "groups")
     near = written(_verified(_with_texts(_near_heads(stars, block), rows_in, texts, n), threshold), "near")
@@ -280,20 +283,12 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     classes = connected_components(near.union(far))
     least = classes.join(texts.select(F.col("digest").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("class_id"))
     named = classes.join(least, "component").select(F.col("node").alias("digest"), "class_id")
-    names = texts.select("digest", "least", "copies").join(named, "digest", "left").select("digest", "copies", F.coalesce("class_id", "least").alias("class_id"))
+    names = texts.select("digest", "least", F.col("copies").alias("n")).join(named, "digest", "left").select("digest", "n", F.coalesce("class_id", "least").alias("class_id"))
     names = written(names, "names")
-    # Every row: its text's class, else its own.  Fewer than HOT texts can each have over 1 / HOT of the
-    # rows, so these are broadcast, and the shuffled join meets no larger group of copies.
-    common = F.col("copies") > signed.count() / HOT
-    hot = F.broadcast(names.where(common).select("digest", "class_id"))
-    worded = signed.where("n_shingles > 0").select("doc_id", "digest")
-    parts = [
-        worded.join(hot, "digest"),
-        worded.join(hot, "digest", "left_anti").join(names.where(~common).select("digest", "class_id"), "digest"),
-        signed.where("n_shingles = 0").select("doc_id", "digest", F.col("doc_id").alias("class_id")),
-    ]
-    named_class = F.coalesce("class_id", "doc_id").alias("class_id")
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "digest", named_class)
+    # Every row: its text's class, else its own.
+    worded = joined(signed.where("n_shingles > 0").select("doc_id", "digest"), names, "digest", signed.count())
+    alone = signed.where("n_shingles = 0").select("doc_id", "digest", F.col("doc_id").alias("class_id"))
+    return worded.unionByName(alone).select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -117,28 +117,37 @@ def as_text(print_: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
     """Rows with ``next_<c>`` for each of ``columns``: its value in the next row by descending ``doc_id``.
 
-    After the last row comes the first.  Rows that share an id stand in the order of their texts; null ids
-    stand last.  Ids are cut into ranges by approximate quantiles, of which at most ``ranges`` numbers
-    reach the driver, and each range also gets a copy of the first row of the range that follows.  So one
-    sort within each range does, and no task has more than its share.
+    After the last row comes the first.  Rows that share an id stand in the order of a hash of their texts,
+    the greatest first; null ids stand last.  Ids are cut into ranges by approximate quantiles, of which at
+    most ``ranges`` numbers reach the driver; an id that fills several ranges, or the null id, is cut further
+    by the hash.  Each range also gets a copy of the first row of the range that follows.  So one sort within
+    each range does, and no task has more than its share, but for rows that are equal in id and text.
     """
     spark = docs.sparkSession
     ranges = ranges or min(2000, 4 * shuffle_partitions(spark))
-    id_ = F.col("doc_id")
+    docs = docs.withColumn("_h", F.xxhash64("text"))
+    id_, h = F.col("doc_id"), F.col("_h")
     shares = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges)).first()[0] or []))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    # Range 0 holds the largest ids, the last one the null ids.
-    number = F.when(id_.isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.size(F.filter(bounds, lambda c: c <= id_)))
-    heads = sorted(docs.select("doc_id", number.alias("r")).groupBy("r").agg(F.max("doc_id")).collect())  # one row a range
-    leads = [(head[1], heads[k - 1][0]) for k, head in enumerate(heads)]
-    table = spark.createDataFrame(leads, "_head long, _before int")
+    found = docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges), F.count(F.lit(1)), F.count("doc_id")).first()
+    times: dict[int, int] = {}
+    for c in found[0] or []:
+        times[c] = times.get(c, 0) + 1
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<long>")
+    cuts, many = sorted(times), [c for c in sorted(times) if times[c] > 1]
+    nulls = 1 + ranges * (found[1] - found[2]) // max(found[1], 1)
+    # Ranges are numbered by falling id: so many cuts are greater, then the parts of one id.
+    part = F.get(longs([times[c] for c in many]), F.array_position(longs(many), id_).cast("int") - 1)
+    part = F.when(id_.isNull(), F.lit(nulls)).otherwise(part)
+    inside = F.when(part.isNull(), F.lit(0)).otherwise(1 + F.floor((0.5 - h / F.lit(2.0**64)) * part))
+    number = F.when(id_.isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(longs(cuts), lambda c: c > id_))).cast("long") * 4096 + inside
+    heads = sorted(docs.select(number.alias("r"), F.struct("doc_id", "_h").alias("head")).groupBy("r").agg(F.max("head").alias("head")).collect())  # one row a range
+    table = spark.createDataFrame([(head["head"][0], head["head"][1], heads[k - 1]["r"]) for k, head in enumerate(heads)], "_head long, _head_h long, _before long")
     own = F.struct(number.alias("_r"), F.lit(False).alias("_copy"))
     both = F.array(own, F.struct(F.col("_before").alias("_r"), F.lit(True).alias("_copy")))
-    rows = docs.join(F.broadcast(table), id_.eqNullSafe(F.col("_head")), "left")  # at most `ranges` rows
+    rows = docs.join(F.broadcast(table), id_.eqNullSafe(F.col("_head")) & (h == F.col("_head_h")), "left")  # a row a range
     rows = rows.withColumn("_to", F.when(F.col("_before").isNull(), F.array(own)).otherwise(both)).select(*docs.columns, F.explode("_to").alias("_to"))
-    order = Window.partitionBy("_to._r").orderBy("_to._copy", id_.desc_nulls_last(), F.col("text"))
-    return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not _to._copy").drop("_to")
+    order = Window.partitionBy("_to._r").orderBy("_to._copy", id_.desc_nulls_last(), h.desc(), F.col("text"))
+    return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not _to._copy").drop("_to", "_h")
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Quality rules: counted base rules, and hashed n-gram logistic regression with calibrated probabilities.
 
 Fitting takes labelled rows: all of them up to ``sample`` (documented bound), beyond it those whose id
-hashes lowest.  Features of the sample are made by executors and fitted in one task of bounded size: the
-sample holds at most ``sample`` rows of 3 * 2**BITS shares.  A fifth of it, by id hash, is kept out of the
-fit and calibrates the probability (Platt).  Scoring runs over Arrow batches of whole texts.
+hashes lowest.  Sparse features of the sample, in 2**BITS buckets for words, pairs of words and character
+trigrams each, are made by executors and fitted in one task of bounded size: at most ``sample`` documents,
+one row each.  A fifth of it, by id hash, is kept out of the fit and calibrates the probability (Platt).
+Scoring runs over Arrow batches of whole texts.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map, kept_columns, quoted, span_hashes, text_blocks, window_hashes, word_spans
-from .text_features import feature_matrix, linear_scores
+from .text_features import linear_scores, sparse_features
 
-BITS = 9
+BITS = 18
 #: Fixed thresholds.
 LEAST_WORDS, MOST_REPEATED_PERCENT, LEAST_PROBABILITY = 50, 50, 0.5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -77,33 +78,42 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """``id_hash, text, label`` of at most about ``sample`` labelled documents, the same ones each time.
+def sampled_ids(labels: DataFrame, label: str, sample: int, salt: int) -> DataFrame:
+    """``_id, label`` of at most ``sample`` labelled documents, those whose id hashes lowest.
 
-    Labels that are null and repeated label rows of one document beyond the first are left out.
+    Null ids and labels are left out; a document with several label rows has the greatest one.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label")).where("_id is not null and label is not null").groupBy("_id").agg(F.max("label").alias("label"))
-    total = rows.count()
-    share = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    rows = rows.where(share < min(1.0, sample / max(total, 1)))
-    # The sample is bounded by `sample` rows of two numbers, so it may be broadcast.
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).where("text is not null").select(F.xxhash64("_id", F.lit(11)).alias("id_hash"), "text", "label")
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient descent; classes weigh the same."""
-    n = len(y)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / n
-    w, b = np.zeros(x.shape[1]), 0.0
-    rate = 4.0 / (float(np.max((x * x).sum(axis=1))) + 1.0)
-    w_look, b_look = w.copy(), b
-    for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w_look + b_look, -50, 50)))
-        g = weight * (p - y)
-        w_next, b_next = w_look - rate * (x.T @ g + l2 * w_look), b_look - rate * float(g.sum())
-        ahead = k / (k + 3)
-        w_look, b_look = w_next + ahead * (w_next - w), b_next + ahead * (b_next - b)
-        w, b = w_next, b_next
+    return rows.orderBy(F.xxhash64("_id", F.lit(salt)), "_id").limit(sample)
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``id_hash, text, label`` of the chosen documents; of rows that share an id the one with the least text counts."""
+    # What is chosen is at most a sample of two numbers a row, so it may be broadcast.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where("text is not null")
+    rows = rows.groupBy("_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return rows.select(F.xxhash64("_id", F.lit(11)).alias("id_hash"), "text", "label")
+
+
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, epochs: int = 12, rate: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept by AdaGrad over sparse rows (buckets and shares); classes weigh the same.
+
+    Rows come in a new, seeded order in each epoch.
+    """
+    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    w, seen = np.zeros(width), np.full(width, 1e-8)
+    b, b_seen = 0.0, 1e-8
+    rng = np.random.default_rng(1)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            at, x = rows[i]
+            z = float(w[at] @ x) + b
+            g = weight[i] * (1 / (1 + np.exp(-min(max(z, -50.0), 50.0))) - y[i])
+            step = g * x
+            seen[at] += step * step
+            w[at] -= rate * step / np.sqrt(seen[at])
+            b_seen += g * g
+            b -= rate * g / b_seen**0.5
     return w, b
 
 
@@ -125,32 +135,36 @@ def platt(score: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> dict | None:
     """The quality model of labelled rows, or None if there is no labelled row of each class.
 
-    ``sample`` bounds how many labelled rows are fitted.
+    ``sample`` bounds how many labelled documents are fitted.
     """
-    rows = labelled_sample(docs, labels, "quality", sample)
+    rows = sampled_texts(docs, sampled_ids(labels, "quality", sample, 7))
 
     def features(batch: pa.RecordBatch) -> Iterator[dict]:
         for first, last, data, offsets in text_blocks(batch.column(1)):
-            x = feature_matrix(data, offsets, BITS)
-            yield {"id_hash": batch.column(0)[first:last], "label": batch.column(2)[first:last], "x": pa.array([r.tobytes() for r in x], pa.binary())}
+            found = sparse_features(data, offsets, BITS)
+            yield {"id_hash": batch.column(0)[first:last], "label": batch.column(2)[first:last], "at": pa.array([a.tobytes() for a, _ in found], pa.binary()), "x": pa.array([x.tobytes() for _, x in found], pa.binary())}
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id_hash")
         y = rows["label"].to_numpy(float)
-        x = np.stack([np.frombuffer(r, np.float32) for r in rows["x"]]).astype(float)  # once, not at every product
         held = (rows["id_hash"].to_numpy() % 5) == 0
         if len({*y[~held]}) < 2 or len({*y[held]}) < 2:
             held[:] = False
         if len({*y}) < 2:
-            return pd.DataFrame({"weights": [], "slope": [], "intercept": []})
-        w, b = fit_logistic(x[~held], y[~held])
-        tested = held if held.any() else ~held
-        slope, intercept = platt(x[tested] @ w + b, y[tested])
-        return pd.DataFrame({"weights": [(w * slope).tobytes()], "slope": [slope], "intercept": [b * slope + intercept]})
-
-    made = arrow_map(rows, "id_hash long, label int, x binary", features)
-    model = made.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(train, "weights binary, slope double, intercept double").collect()
-    return {"weights": bytes(model[0]["weights"]), "intercept": model[0]["intercept"]} if model else None
+            return pd.DataFrame({"at": [], "weights": [], "intercept": []})
+        known, index = np.unique(np.concatenate([np.frombuffer(a, np.int32) for a in rows["at"]]), return_inverse=True)
+        cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows["x"]])])
+        sparse = [(index[a:b], np.frombuffer(x, np.float32).astype(float)) for a, b, x in zip(cuts[:-1], cuts[1:], rows["x"], strict=True)]
+        fitted = np.flatnonzero(~held)
+        w, b = fit_logistic([sparse[k] for k in fitted], y[fitted], len(known))
+        tested = np.flatnonzero(held) if held.any() else fitted
+        score = np.array([w[sparse[k][0]] @ sparse[k][1] for k in tested]) + b
+        slope, intercept = platt(score, y[tested])
+        return pd.DataFrame({"at": [known.tobytes()], "weights": [(w * slope).astype(np.float32).tobytes()], "intercept": [b * slope + intercept]})
+
+    made = arrow_map(rows, "id_hash long, label int, at binary, x binary", features)
+    model = made.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(train, "at binary, weights binary, intercept double").collect()
+    return {"at": bytes(model[0]["at"]), "weights": bytes(model[0]["weights"]), "intercept": model[0]["intercept"]} if model else None
 
 
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_probability double, kept boolean"
@@ -167,7 +181,9 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     at = [c.lower() for c in rows.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.frombuffer(model["weights"]) if model else None
+        if model:
+            weights = np.zeros(3 << BITS, np.float32)
+            weights[np.frombuffer(model["at"], np.int32)] = np.frombuffer(model["weights"], np.float32)
         for batch in batches:
             parts = []
             for _, _, data, offsets in text_blocks(batch.column(at)):

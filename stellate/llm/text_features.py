@@ -6,6 +6,7 @@ import numpy as np
 
 from .common import U64, mix, span_hashes, window_hashes, word_spans
 
+
 def hashed_ngrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Feature families of a block of texts: (text number, bucket, share of the text's family).
 
@@ -41,10 +42,12 @@ def linear_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bi
     return score
 
 
-def feature_matrix(data: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
-    """Dense shares of a few texts, for fitting."""
+def sparse_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets (ascending) and their shares of each text, for fitting."""
     n, width = len(offsets) - 1, 3 << bits
-    flat = np.zeros(n * width)
-    for owner, bucket, share in hashed_ngrams(data, offsets, bits):
-        flat += np.bincount(owner * width + bucket, weights=share, minlength=n * width)
-    return flat.reshape(n, width).astype(np.float32)
+    found = hashed_ngrams(data, offsets, bits)
+    owner, bucket, share = (np.concatenate([f[k] for f in found]) for k in range(3))
+    key, index = np.unique(owner * width + bucket, return_inverse=True)
+    total = np.bincount(index, weights=share, minlength=len(key))
+    cuts = np.searchsorted(key, np.arange(n + 1) * width)
+    return [((key[a:b] % width).astype(np.int32), total[a:b].astype(np.float32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -6,8 +6,10 @@ for all of the ordered thresholds; the expected severity is the sum over k of P(
 Features are the distinct words of a text in lower case and their prefixes of 5 to 8 bytes, of which
 those are kept that tell toxic from other rows (log-likelihood ratio over the sample).  Labels say only
 whether a row is toxic, so toxic rows of the sample get grades 1 and up by quantiles of their lexical
-evidence.  The fit takes at most ``toxic_sample`` toxic and ``clean_sample`` other labelled rows, in one
-task of that bounded size; scoring runs over Arrow batches of whole texts.
+evidence (sum of root ratios) as the *other* half of the sample tells it: no row is graded by statistics
+that it is part of, nor by the weights that are fitted.  The fit takes at most
+``toxic_sample`` toxic and ``clean_sample`` other labelled documents, in one task of that bounded size;
+scoring runs over Arrow batches of whole texts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import U64, arrow_map, kept_columns, mix, powers, quoted, spans_where, text_blocks
+from .quality import sampled_ids, sampled_texts
 
 GRADES = 4
 PREFIXES = (5, 6, 7, 8)
@@ -86,23 +89,34 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-5,
     return parts[0], parts[1][0] + np.concatenate([[0.0], np.cumsum(np.exp(parts[2]))])
 
 
+def _telling(index: np.ndarray, where: np.ndarray, toxic: np.ndarray, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``n`` terms tell toxic from other rows among the ``chosen`` rows, and their log-likelihood ratios.
+
+    ``index`` and ``where`` are the distinct terms of each row and the row's number.
+    """
+    at = chosen[where]
+    up = np.bincount(index[at], weights=toxic[where[at]], minlength=n)
+    down = np.bincount(index[at], minlength=n) - up
+    n_up, n_down = max(float((toxic & chosen).sum()), 1.0), max(float((~toxic & chosen).sum()), 1.0)
+    rate = (up + down) / (n_up + n_down)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(up > 0, up * np.log(up / (n_up * rate)), 0) + np.where(down > 0, down * np.log(down / (n_down * rate)), 0))
+    return (up / n_up > 3 * down / n_down) & (ratio >= LEAST_RATIO), ratio
+
+
 def _train(rows: pd.DataFrame) -> pd.DataFrame:
-    """Model of the sample's rows (``id_hash, label, terms``)."""
+    """Model of the sample's rows (``id_hash, label, terms, times``)."""
     rows = rows.sort_values("id_hash")
     toxic = rows["label"].to_numpy() == 1
     none = pd.DataFrame({"terms": [], "weights": [], "thresholds": []})
     if toxic.all() or not toxic.any():
         return none
     lists = [np.frombuffer(t, U64) for t in rows["terms"]]
+    times = np.concatenate([np.frombuffer(t, np.int32) for t in rows["times"]])
     where = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
     known, index = np.unique(np.concatenate(lists), return_inverse=True)
-    up = np.bincount(index, weights=toxic[where], minlength=len(known))
-    down = np.bincount(index, minlength=len(known)) - up
-    n_up, n_down = float(toxic.sum()), float((~toxic).sum())
-    rate = (up + down) / (n_up + n_down)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(up > 0, up * np.log(up / (n_up * rate)), 0) + np.where(down > 0, down * np.log(down / (n_down * rate)), 0))
-    telling = np.flatnonzero((up / n_up > 3 * down / n_down) & (ratio >= LEAST_RATIO))
+    tells, ratio = _telling(index, where, toxic, np.ones(len(lists), bool), len(known))
+    telling = np.flatnonzero(tells)
     telling = np.sort(telling[np.argsort(-ratio[telling], kind="stable")][:MOST_TERMS])
     if not len(telling):
         return none
@@ -111,7 +125,12 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
     at = position[index]
     x = np.zeros((len(lists), len(telling)))  # at most the samples' rows by MOST_TERMS; float64, as products with float32 convert it at every step
     x[where[at >= 0], at[at >= 0]] = 1
-    evidence = x @ np.sqrt(ratio[telling])
+    # Evidence of each half of the rows, by what the other half tells.
+    half = np.arange(len(lists)) % 2 == 0
+    evidence = np.zeros(len(lists))
+    for own in (half, ~half):
+        tells, ratio = _telling(index, where, toxic, ~own, len(known))
+        evidence[own] = np.bincount(where, weights=(np.sqrt(np.maximum(ratio, 0)) * tells)[index], minlength=len(lists))[own]
     grade = np.where(toxic, 1, 0)
     for q in range(1, GRADES - 1):
         grade[toxic & (evidence > np.quantile(evidence[toxic], q / (GRADES - 1)))] += 1
@@ -124,25 +143,23 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, toxic_sample: int = 1500, clean_sample: int = 2500) -> dict | None:
     """The model of labelled rows, or None if one of the classes has no row or no term tells them apart.
 
-    The samples bound the rows that are fitted; rows are taken by a hash of their id.  Null texts, labels
-    and ids are left out; a document with several label rows counts once, as toxic if one says so.
+    The samples bound the documents that are fitted, those whose id hashes lowest.  Null texts, labels and
+    ids are left out; a document with several label rows counts once, as toxic if one says so; of rows that
+    share an id the one with the least text counts.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("label")).where("_id is not null and label is not null").groupBy("_id").agg(F.max("label").alias("label"))
-    count = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    share = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    rows = rows.where(share < F.when(F.col("label") == 1, min(1.0, toxic_sample / max(count.get(1, 0), 1))).otherwise(min(1.0, clean_sample / max(count.get(0, 0), 1))))
-    # The sample is bounded, so it may be broadcast.
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).where("text is not null").select(F.xxhash64("_id", F.lit(11)).alias("id_hash"), "text", "label")
+    whole = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = sampled_ids(whole.where("toxic = 1"), "toxic", toxic_sample, 3).union(sampled_ids(whole.where("toxic <> 1"), "toxic", clean_sample, 3))
+    sample = sampled_texts(docs, chosen)
 
     def features(batch: pa.RecordBatch) -> Iterator[dict]:
         for first, last, data, offsets in text_blocks(batch.column(1)):
             h, owner = terms(data, offsets)
             order = np.argsort(owner, kind="stable")
             cuts = np.searchsorted(owner[order], np.arange(last - first + 1))
-            lists = [np.unique(h[order[cuts[k] : cuts[k + 1]]]).tobytes() for k in range(last - first)]
-            yield {"id_hash": batch.column(0)[first:last], "label": batch.column(2)[first:last], "terms": pa.array(lists, pa.binary())}
+            lists = [np.unique(h[order[cuts[k] : cuts[k + 1]]], return_counts=True) for k in range(last - first)]
+            yield {"id_hash": batch.column(0)[first:last], "label": batch.column(2)[first:last], "terms": pa.array([t.tobytes() for t, _ in lists], pa.binary()), "times": pa.array([n.astype(np.int32).tobytes() for _, n in lists], pa.binary())}
 
-    made = arrow_map(sample, "id_hash long, label int, terms binary", features)
+    made = arrow_map(sample, "id_hash long, label int, terms binary, times binary", features)
     model = made.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(_train, "terms binary, weights binary, thresholds binary").collect()
     return {k: bytes(model[0][k]) for k in ("terms", "weights", "thresholds")} if model else None
 

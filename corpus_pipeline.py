@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stellate.llm import near_dup, packing, pii, quality, toxicity
 from stellate.llm.common import quoted, written
+from stellate.llm.queries import pii_key
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +38,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data pseudonymised in their texts; ``n_chars`` follows the text."""
-    out = pii.pseudonymize(docs)
+    out = pii.pseudonymize(docs, pii_key(spark))
     if "n_chars" in docs.columns:
         out = out.selectExpr(*[f"`{c}`" for c in out.columns if c != "n_chars"], "cast(char_length(text) as bigint) as n_chars")
     return out.select(*[quoted(c) for c in docs.columns])

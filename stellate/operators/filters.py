@@ -39,13 +39,21 @@ def _path(field: str) -> str:
     return "$['" + field.replace("'", "\\'") + "']"
 
 
-def _typed(field: str, like: object, promoted: dict[str, str]) -> Column:
-    """The field as a column comparable with ``like``; null where its JSON kind is another."""
+def _promoted(field: str) -> Column:
+    """A promoted field by its exact name, dots included."""
+    return F.col("`" + field.replace("`", "``") + "`")
+
+
+def _same_kind(kind: str, value: object) -> bool:
+    """Whether a promoted field of this type can equal the value: numbers, strings and booleans keep to themselves."""
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return kind == "string" if isinstance(value, str) else kind not in ("string", "boolean")
+
+
+def _typed(field: str, like: object) -> Column:
+    """A field of the metadata as a column comparable with ``like``; null where its JSON kind is another."""
     number = isinstance(like, (int, float)) and not isinstance(like, bool)
-    if field in promoted:
-        kind = promoted[field]
-        same = (kind == "boolean") if isinstance(like, bool) else (kind not in ("string", "boolean")) if number else kind == "string"
-        return F.col(field) if same else F.lit(None).cast(kind if kind != "string" else "string")
     value = F.try_variant_get("metadata", _path(field), "variant")
     kind = F.schema_of_variant(value)
     if isinstance(like, bool):
@@ -65,11 +73,10 @@ def eq(field: str | None, value: object) -> Filter:
 
 
 def _compare(field: str, value: object, promoted: dict[str, str], op: Callable[[Column, Column], Column]) -> Column:
-    kind = promoted.get(field)
+    if field in promoted:
+        return op(_promoted(field), F.lit(value)) if _same_kind(promoted[field], value) else F.lit(False)
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind is not None and ((kind == "string") != isinstance(value, str) or (kind == "boolean") != isinstance(value, bool)):
-        return F.lit(False)
-    return op(_typed(field, value, promoted), F.lit(float(value)) if number and kind is None else F.lit(value))
+    return op(_typed(field, value), F.lit(float(value)) if number else F.lit(value))
 
 
 def in_(field: str | None, values: list | None) -> Filter:
@@ -81,8 +88,9 @@ def in_(field: str | None, values: list | None) -> Filter:
         return Filter(lambda p: F.lit(False))
 
     def build(p: dict[str, str]) -> Column:
-        if field in p and len({isinstance(v, str) for v in some} | {isinstance(v, bool) for v in some}) <= 2 and all(isinstance(v, str) for v in some) == (p[field] == "string"):
-            return F.col(field).isin(some)
+        if field in p:  # one typed list, which the scan can take; values of other kinds never match
+            same = [v for v in some if _same_kind(p[field], v)]
+            return _promoted(field).isin(same) if same else F.lit(False)
         return reduce(lambda a, b: a | b, [eq(field, v).build(p) for v in some])
 
     return Filter(build)

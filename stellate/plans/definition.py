@@ -10,7 +10,11 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class StoreDefinition:
-    """Name, dimension and rules of a store.  ``indexed`` maps promoted metadata fields to Spark types."""
+    """Name, dimension and rules of a store.
+
+    ``indexed`` maps promoted metadata fields to Spark types.  A saved store is cut into ``buckets`` by a hash
+    of the id; a change writes the buckets that it touches.
+    """
 
     name: str
     dimension: int = 512
@@ -21,15 +25,18 @@ class StoreDefinition:
     quantization: str = "NONE"
     indexed: dict[str, str] = field(default_factory=dict)
     freeze_rows: int = 1024
+    buckets: int = 16
 
     def __post_init__(self) -> None:
         if not self.name:
             raise ValueError("a store needs a name")
         if self.dimension < 1:
             raise ValueError("the dimension must be positive")
+        if self.buckets < 1:
+            raise ValueError("a store needs a bucket")
         if self.quantization not in ("NONE", "SQ8"):
             raise ValueError(f"unknown quantization {self.quantization!r}")
-        clash = {"id", "seq", "vector", "text", "metadata", "deleted", "code", "code_norm"} & set(self.indexed)
+        clash = {"id", "seq", "vector", "text", "metadata", "deleted", "code", "code_norm", "bucket"} & set(self.indexed)
         if clash:
             raise ValueError(f"indexed fields clash with the store's columns: {sorted(clash)}")
 

@@ -18,6 +18,7 @@ class Engine:
     def __init__(self, spark: SparkSession, storage: SnapshotStorage | NoStorage | None = None, registry: Registry | None = None):
         self.spark, self.storage, self.registry = spark, storage or NoStorage(), registry or Registry()
         self._stores: dict[str, VectorStore] = {}
+        self._saved: dict[str, tuple[VectorStore, int]] = {}  # what was loaded last, and from which version
 
     @staticmethod
     def from_config(spark: SparkSession, config: dict, providers: dict | None = None) -> Engine:
@@ -65,6 +66,7 @@ class Engine:
     def drop_store(self, name: str, purge: bool = False) -> None:
         """Forget a store; its snapshot stays unless purged; unknown names are no error."""
         self._stores.pop(name, None)
+        self._saved.pop(name, None)
         if purge:
             self.storage.delete(name)
 
@@ -82,7 +84,8 @@ class Engine:
     def upsert(self, name: str, batch: DataFrame, order: str = "batch_seq") -> VectorStore:
         """Upsert; documents with a text and no vector are embedded by the store's bound model first.
 
-        With a snapshot storage the new version is saved and read back, so lineage stays short.
+        With a snapshot storage the change is saved at once and read back, so lineage stays short: only the
+        buckets of the batch's ids are written, unless the store differs from its snapshot.
         """
         store = self.get_store(name)
         d = store.definition
@@ -95,19 +98,36 @@ class Engine:
                 raise RuntimeError(f"store {name} is bound to no embedding model")
             model = self.registry.resolve(d.embedding_model)
             batch = embed_missing(batch, self.registry.provider(model.name), model.name, d.embedding_version or model.version, model.batch_size)
+        if self._is_saved(name):
+            self.storage.upsert(d, batch, order)
+            self.reload(name)
+            return self.get_store(name)
         self.put(store.upsert(batch, order))
         return self._settled(name)
 
     def delete_by_ids(self, name: str, ids: DataFrame | list[str] | None) -> int:
-        store, n = self.get_store(name).delete_by_ids(ids)
-        self.put(store)
-        return n
+        return self._delete(name, "delete_by_ids", ids)
 
     def delete_by_filter(self, name: str, condition: Filter | None) -> int:
-        store, n = self.get_store(name).delete_by_filter(condition)
+        return self._delete(name, "delete_by_filter", condition)
+
+    def _delete(self, name: str, how: str, what) -> int:
+        """Deletions are saved like upserts."""
+        store = self.get_store(name)
+        if self._is_saved(name):
+            n = getattr(self.storage, how)(store.definition, what)
+            self.reload(name)
+            return n
+        store, n = getattr(store, how)(what)
         self.put(store)
+        self._settled(name)
         return n
 
+    def _is_saved(self, name: str) -> bool:
+        """Whether the store is, unchanged, the current version of its snapshot."""
+        loaded, number = self._saved.get(name, (None, 0))
+        return loaded is not None and loaded is self._stores.get(name) and (self.storage.current(name) or {}).get("number") == number
+
     def _settled(self, name: str) -> VectorStore:
         if isinstance(self.storage, SnapshotStorage):
             self.refresh(name)
@@ -137,3 +157,5 @@ class Engine:
         found = self.storage.load(self.get_store(name).definition)
         if found is not None:
             self.put(found)
+            if (found.params is not None) == self.storage.current(name)["frozen"]:  # not frozen while it was read
+                self._saved[name] = found, self.storage.current(name)["number"]

@@ -12,6 +12,11 @@ from .operators.filters import Filter
 from .plans.definition import StoreDefinition
 
 
+def quoted(name: str):
+    """Column by exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _checked(rows: DataFrame, d: StoreDefinition) -> DataFrame:
     """Raises, inside the plan, on a vector that is null, of another length or not finite, and on a null id."""
     v = F.col("vector")
@@ -62,24 +67,29 @@ class VectorStore:
         return rows.orderBy("seq").offset((page - 1) * size).limit(size).select(*kept)
 
     # ------------------------------------------------------------ mutations
-    def upsert(self, batch: DataFrame, order: str = "batch_seq") -> VectorStore:
+    def upsert(self, batch: DataFrame, order: str = "batch_seq", base: int | None = None, others: int = 0) -> VectorStore:
         """Insert or fully replace by id; the last of a repeated id wins; ids keep their first position.
 
-        Deleted ids come alive again.  Too many live rows raise before anything changes.
+        Deleted ids come alive again.  Too many live rows raise before anything changes.  New ids go after
+        ``base - 1``, by default the highest position.  ``others`` are live rows elsewhere that count for the
+        capacity.  Only ids and positions of the store are looked up; rows that the batch doesn't have are
+        neither grouped nor quantized again, and with a small batch they aren't shuffled.
         """
         d = self.definition
-        base = (self.rows.agg(F.max("seq")).first()[0] or -1) + 1
+        if base is None:
+            top = self.rows.agg(F.max("seq")).first()[0]
+            base = 0 if top is None else top + 1
         new = _checked(_shaped(batch.withColumn("seq", F.col(order).cast("long") + base).withColumn("deleted", F.lit(False)), d), d)
         names = [f.name for f in d.schema() if f.name not in ("id", "seq")]
-        both = self.rows.select("id", "seq", F.lit(-1).cast("long").alias("_v"), *names).union(new.select("id", "seq", F.col("seq").alias("_v"), *names))
-        merged = both.groupBy("id").agg(F.max_by(F.struct(*names), "_v").alias("_row"), F.min("seq").alias("seq"))
-        rows = merged.select("id", "seq", *[F.col(f"_row.{n}").alias(n) for n in names]).select(*d.schema().names)
-        if d.max_capacity > 0 and rows.where(~F.col("deleted")).count() > d.max_capacity:
+        latest = new.groupBy("id").agg(F.max_by(F.struct(*[quoted(n) for n in names]), "seq").alias("_row"), F.min("seq").alias("_new"))
+        places = self.rows.select("id", F.col("seq").alias("_old")).join(latest.select("id"), "id", "left_semi")
+        rows = latest.join(places, "id", "left").select("id", F.coalesce("_old", "_new").alias("seq"), *[F.col("_row").getField(n).alias(n) for n in names]).select(*[quoted(n) for n in d.schema().names])
+        kept = self.rows.join(latest.select("id"), "id", "left_anti")
+        if d.max_capacity > 0 and others + kept.where(~F.col("deleted")).count() + latest.where("_row.vector is not null").count() > d.max_capacity:
             raise ValueError(f"store {d.name} holds at most {d.max_capacity} documents")
-        return self._with(rows).frozen_if_due()
-
-    def _with(self, rows: DataFrame) -> VectorStore:
-        return replace(self, rows=sq8.with_codes(rows.select(*self.definition.schema().names), self.params) if self.params else rows)
+        if self.params:
+            rows = sq8.with_codes(rows, self.params)
+        return replace(self, rows=kept.select(*[quoted(c) for c in rows.columns]).union(rows)).frozen_if_due()
 
     def delete_by_ids(self, ids: DataFrame | list[str] | None) -> tuple[VectorStore, int]:
         """The store without these ids, and how many live rows went; unknown and repeated ids count 0."""
@@ -99,8 +109,8 @@ class VectorStore:
     def _flagged(self, rows: DataFrame, gone) -> tuple[VectorStore, int]:
         gone = F.coalesce(gone, F.lit(False))
         n = rows.where(~F.col("deleted") & gone).count()
-        kept = [c for c in rows.columns if c not in ("_id", "deleted")]
-        return replace(self, rows=rows.select(*kept, (F.col("deleted") | gone).alias("deleted")).select(*self.rows.columns)), n
+        kept = [quoted(c) for c in rows.columns if c not in ("_id", "deleted")]
+        return replace(self, rows=rows.select(*kept, (F.col("deleted") | gone).alias("deleted")).select(*[quoted(c) for c in self.rows.columns])), n
 
     def compacted(self) -> VectorStore:
         return replace(self, rows=self.live())
@@ -128,5 +138,5 @@ def _shaped(docs: DataFrame, d: StoreDefinition) -> DataFrame:
     metadata = F.col("metadata") if "metadata" in have else F.lit(None).cast("variant")
     out = [F.col("id").cast("string").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("vector").cast("array<float>").alias("vector"), (F.col("text").cast("string") if "text" in have else F.lit(None).cast("string")).alias("text"), metadata.alias("metadata")]
     for name, kind in d.indexed.items():
-        out.append((F.col(name).cast(kind) if name in have else F.try_variant_get("metadata", f"$['{name}']", kind)).alias(name))
+        out.append((quoted(name).cast(kind) if name in have else F.try_variant_get("metadata", f"$['{name}']", kind)).alias(name))
     return docs.select(*out, F.col("deleted").cast("boolean").alias("deleted"))

@@ -1,4 +1,4 @@
-"""Exact top-k search: one query as an ordered limit, many queries as blocks of one plan."""
+"""Exact top-k search: one query as an ordered limit, many queries as blocks that tasks read."""
 
 from __future__ import annotations
 
@@ -6,16 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import sq8
 from ..functions.embedding import Registry, embed_chunks
 from ..functions.vectors import COSINE, DOT_PRODUCT, lower_is_better, metric_of, score
+from ..sources.shared import opened, shared_folder
 from ..store import VectorStore
 from .filters import Filter
 
-#: Bytes of query vectors that go to executors at once; more queries run as several such blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of the query vectors of one block, and of the store's vectors that a task holds at once.
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 64 << 20
+#: Most winners whose payload is fetched by their positions.
+FETCHED = 10_000
 
 
 def _query(store: VectorStore, vector: list[float] | None) -> list[float]:
@@ -50,18 +54,30 @@ def search_by_vector(store: VectorStore, vector: list[float], top_k: int | None
     """``id, seq, score[, text, metadata]`` of the best ``top_k`` (at least 1), best first; ties by ``seq``.
 
     ``min_score`` is a lower bound, for Euclidean an upper one.  Without a ``top_k`` (None) all rows come.
+    The scan that scores reads no text and no metadata; with ``payload`` these are fetched for the winners,
+    for which the search runs at once.
     """
     metric = metric_of(store.definition.metric)
     rows = _thresholded(scored(store, vector, condition), metric, min_score)
     order = F.col("score").asc() if lower_is_better(metric) else F.col("score").desc()
-    kept = ["id", "seq", "score", "text", "metadata"] if payload else ["id", "seq", "score"]
-    ranked = rows.select(*kept).orderBy(order, "seq")
-    return ranked if top_k is None else ranked.limit(max(top_k, 1))
+    if top_k is None:
+        return rows.select("id", "seq", "score", *(["text", "metadata"] if payload else [])).orderBy(order, "seq")
+    hits = rows.select("id", "seq", "score").orderBy(order, "seq").limit(max(top_k, 1))
+    return with_payload(hits, store).orderBy(order, "seq") if payload else hits
 
 
 def with_payload(hits: DataFrame, store: VectorStore) -> DataFrame:
-    """Text and metadata of winners, fetched after the top-k."""
-    return hits.join(store.rows.select("id", "text", "metadata"), "id")
+    """Hits with text and metadata of the winners.
+
+    Up to ``FETCHED`` winners are looked up by their positions, a filter that the scan takes, so it skips
+    all row groups without one; more are joined.
+    """
+    found = hits.limit(FETCHED + 1).collect()
+    payload = store.rows.select("id", "seq", "text", "metadata")
+    if len(found) > FETCHED:
+        return hits.join(payload.drop("seq"), "id")
+    winners = hits.sparkSession.createDataFrame(found, hits.schema)
+    return winners.join(payload.where(F.col("seq").isin([r["seq"] for r in found])).drop("seq"), "id")
 
 
 def search_by_text(store: VectorStore, text: str, registry: Registry, **kwargs) -> DataFrame:
@@ -83,69 +99,183 @@ def hybrid_search(store: VectorStore, vector: list[float] | None = None, text: s
 def search_batch(store: VectorStore, queries: DataFrame, top_k: int = 10, min_score: float | None = None, condition: Filter | None = None) -> DataFrame:
     """``query_id, rank, id, seq, score`` for every row of ``queries`` (``query_id, vector``).
 
-    Queries go to executors in blocks of bounded bytes.  Each Arrow batch of the store is scored against a
-    block by one matrix product and keeps its best ``top_k`` for each query, so what is shuffled is a few
-    rows per query and batch; a window then ranks them.
+    Queries are written in blocks of bounded bytes to the shared folder, from where tasks read them one at a
+    time; the driver sees the names of the blocks only.  A task holds a bounded chunk of the store, scores it
+    against each block by float32 products, and scores again, in double, what these can't tell from the best
+    ``top_k``.  Each chunk gives at most ``top_k`` rows a query, ties by ``seq``; a window ranks them.
     """
     d = store.definition
-    top_k = max(top_k, 1)
+    top_k, metric = max(top_k, 1), metric_of(d.metric)
+    names, blocks = query_blocks(queries, d.dimension)
+    rows = candidates(store, condition).select("id", "seq", F.col("code" if store.params else "vector").alias("vector"))
+    out = rows.mapInArrow(_scorer(blocks, metric, d.dimension, top_k, min_score, store.params), "query long, id string, seq long, score double")
+    order = F.col("score").asc() if lower_is_better(metric) else F.col("score").desc()
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "seq"))).where(F.col("rank") <= top_k)
+    return ranked.join(names, "query").select("query_id", "rank", "id", "seq", "score")
+
+
+def query_blocks(queries: DataFrame, dimension: int) -> tuple[DataFrame, list[str]]:
+    """Queries as ``query, query_id`` with a number each, and the files with blocks of numbers and vectors.
+
+    Raises on a vector of another length.  Rows that share a ``query_id`` are queries of their own.
+    """
+    spark = queries.sparkSession
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    n_blocks = max(1, -(-queries.count() * d.dimension * 8 // BLOCK_BYTES))
-    rows = candidates(store, condition)
-    vector = sq8.dequantized(F.col("code"), store.params) if store.params else F.col("vector")
-    rows = rows.select("id", "seq", vector.alias("vector"))
-    blocks = [queries] if n_blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-    out = None
-    for block in blocks:
-        part = rows.mapInArrow(_block_scorer(block.collect(), metric_of(d.metric), d.dimension, top_k, min_score), "query_id string, id string, seq long, score double")
-        out = part if out is None else out.union(part)
-    order = F.col("score").asc() if lower_is_better(metric_of(d.metric)) else F.col("score").desc()
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "seq")))
-    return ranked.where(F.col("rank") <= top_k).select("query_id", "rank", "id", "seq", "score")
-
-
-def _block_scorer(rows: list, metric: str, dimension: int, top_k: int, min_score: float | None):
-    names = np.array([r["query_id"] for r in rows], dtype=object)
-    for r in rows:
-        if r["vector"] is None or len(r["vector"]) != dimension:
-            raise ValueError(f"query {r['query_id']}: {dimension} numbers are needed")
-    q = np.array([r["vector"] for r in rows], float).reshape(len(rows), dimension)
-    q_norm = np.sqrt((q * q).sum(axis=1))
+    queries = queries.withColumn("query", F.monotonically_increasing_id())
+    most = max(1, BLOCK_BYTES // (8 * dimension))
+    folder = shared_folder(spark, "queries")
+    queries.write.parquet(f"{folder}/rows")  # numbers must not change from one read to the next
+    queries = spark.read.parquet(f"{folder}/rows")
+    n = queries.count()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, vectors = [], []
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"numbers": pa.array([numbers], pa.list_(pa.int64())), "vectors": pa.array([b"".join(vectors)], pa.binary())})
+
+        for batch in batches:
+            for number, name, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if v is None or len(v) != dimension:
+                    raise ValueError(f"query {name}: {dimension} numbers are needed")
+                numbers.append(number), vectors.append(np.array(v, float).tobytes())
+                if len(numbers) == most:
+                    yield block()
+                    numbers, vectors = [], []
+        if numbers:
+            yield block()
+
+    packed = queries.select("query", "query_id", "vector").repartition(max(1, -(-n // most))).mapInArrow(pack, "numbers array<long>, vectors binary")
+    packed.write.option("parquet.block.size", BLOCK_BYTES).parquet(f"{folder}/blocks")
+    return queries.select("query", "query_id"), sorted(spark.read.parquet(f"{folder}/blocks").inputFiles())
+
+
+def _scorer(paths: list[str], metric: str, dimension: int, top_k: int, min_score: float | None, params: sq8.Params | None):
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for path in paths:
+            with opened(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(batch_size=1, columns=["numbers", "vectors"]):
+                    for numbers, raw in zip(batch.column(0), batch.column(1), strict=True):
+                        yield np.array(numbers.as_py(), np.int64), np.frombuffer(raw.as_py(), float).reshape(-1, dimension)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, scale = (np.array(params.low), np.array(params.scale)) if params else (None, None)
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, seq = table.column(0).chunk(0), np.asarray(table.column(1).chunk(0))
+            v = np.asarray(table.column(2).chunk(0).flatten()).reshape(len(seq), dimension)
+            if params:
+                v = low + scale * (v.astype(float) + 128)
+            for numbers, q in blocks():
+                a, b, score = best_of(q, v, seq, metric, top_k, min_score)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[a]), ids.take(pa.array(b)), pa.array(seq[b]), pa.array(score)], names=["query", "id", "seq", "score"])
+
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(q):
-                continue
-            v = np.asarray(batch.column(2).flatten(), float).reshape(n, dimension)
-            s = q @ v.T
-            if metric != DOT_PRODUCT:
-                v_norm = np.sqrt((v * v).sum(axis=1))
-                if metric == COSINE:
-                    length = q_norm[:, None] * v_norm[None, :]
-                    s = np.where(length == 0, 0.0, s / np.where(length == 0, 1.0, length))
-                else:
-                    s = -np.sqrt(np.maximum(0.0, (q_norm**2)[:, None] + (v_norm**2)[None, :] - 2 * s))
-            seq = np.asarray(batch.column(1))
-            k = min(top_k, n)
-            # The k best and all that tie with the last of them: the window decides by seq.
-            edge = np.partition(s, n - k, axis=1)[:, n - k]
-            hit = s >= edge[:, None]
-            if min_score is not None:
-                hit &= -s <= min_score if metric not in (COSINE, DOT_PRODUCT) else s >= min_score
-            a, b = np.nonzero(hit)
-            value = s[a, b] if metric in (COSINE, DOT_PRODUCT) else -s[a, b]
-            yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.string()), batch.column(0).take(pa.array(b)), pa.array(seq[b]), pa.array(value)], names=["query_id", "id", "seq", "score"])
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows * dimension * 4
+            if size >= CHUNK_BYTES:
+                yield from chunk()
+                held, size = [], 0
+        if held:
+            yield from chunk()
 
     return run
 
 
+def exact_scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Scores in double of pairs of rows (or of one row with all)."""
+    v = v.astype(float)
+    if metric == DOT_PRODUCT:
+        return (q * v).sum(axis=-1)
+    if metric != COSINE:
+        return np.sqrt(((q - v) ** 2).sum(axis=-1))
+    length = np.sqrt((q * q).sum(axis=-1)) * np.sqrt((v * v).sum(axis=-1))
+    return np.where(length == 0, 0.0, (q * v).sum(axis=-1) / np.where(length == 0, 1.0, length))
+
+
+def best_of(q: np.ndarray, v: np.ndarray, seq: np.ndarray, metric: str, top_k: int, min_score: float | None = None, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, row number and score of the best ``top_k`` rows of ``v`` for each query, ties by ``seq``.
+
+    Rows are met ``step`` at a time by products in float32, whose error is bounded: what is within the bound
+    of the ``top_k``-th best so far is a candidate, and candidates are scored in double.  Where very many
+    rows tie, the query is scored in double as a whole, so candidates stay few.
+    """
+    n_q, n = len(q), len(v)
+    way = 1.0 if metric in (COSINE, DOT_PRODUCT) else -1.0  # times the score: greater is better
+    a, b = q.astype(np.float32), v.astype(np.float32)
+    q_len, v_len = np.sqrt((q * q).sum(axis=1)), np.sqrt(np.einsum("ij,ij->i", b, b, dtype=float))
+    unit = (q.shape[1] + 16) * 2.0**-23  # twice the usual bound of a product's relative error
+    offset = None
+    if metric == COSINE:
+        a = (a / np.where(q_len == 0, 1, q_len)[:, None]).astype(np.float32)
+        b = (b / np.where(v_len == 0, 1, v_len)[:, None]).astype(np.float32)
+        error = np.full(n_q, unit)
+    elif metric == DOT_PRODUCT:
+        error = unit * q_len * v_len.max()
+    else:  # less distance is a greater product less half of the squared length
+        offset = (v_len**2 / 2).astype(np.float32)
+        error = unit * (q_len * v_len.max() + v_len.max() ** 2)
+    edge = np.full(n_q, -np.inf)
+    top = np.full((n_q, top_k), -np.inf, np.float32)
+    tied = np.zeros(n_q, bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, n, step):
+        s = a @ b[at : at + step].T
+        if offset is not None:
+            s -= offset[at : at + step]
+        if at == 0 and s.shape[1] > top_k:
+            edge = np.partition(s, s.shape[1] - top_k, axis=1)[:, s.shape[1] - top_k] - 2 * error
+        edge[tied] = np.inf
+        hit = s >= np.nextafter(edge.astype(np.float32), np.float32(-np.inf))[:, None]
+        hit[tied] = False
+        many = hit.sum(axis=1) > 16 * top_k + 256
+        if many.any() and s.shape[1] > top_k:
+            tied |= many
+            hit[many] = False
+        x, y = np.nonzero(hit)
+        value = s[x, y]
+        found.append((x, y + at, value))
+        rows = np.concatenate([np.repeat(np.arange(n_q), top_k), x])
+        values = np.concatenate([top.ravel(), value])
+        order = np.lexsort((-values, rows))
+        first = np.searchsorted(rows[order], np.arange(n_q))
+        top = values[order][first[:, None] + np.arange(top_k)[None, :]]
+        edge = top[:, -1].astype(float) - 2 * error
+    x, y, value = (np.concatenate([f[k] for f in found]) for k in range(3))
+    keep = (value >= edge[x]) & ~tied[x]
+    x, y = x[keep], y[keep]
+    pairs = max(1, (1 << 21) // q.shape[1])
+    score = np.concatenate([exact_scores(q[x[k : k + pairs]], v[y[k : k + pairs]], metric) for k in range(0, len(x), pairs)] or [np.zeros(0)])
+    parts = [(x, y, score)]
+    for k in np.flatnonzero(tied):
+        one = np.concatenate([exact_scores(q[k], v[at : at + pairs], metric) for at in range(0, n, pairs)])
+        best = np.lexsort((seq, -way * one))[:top_k]
+        parts.append((np.full(len(best), k), best, one[best]))
+    x, y, score = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    if min_score is not None:
+        good = way * score >= way * min_score
+        x, y, score = x[good], y[good], score[good]
+    order = np.lexsort((seq[y], -way * score, x))
+    x, y, score = x[order], y[order], score[order]
+    place = np.arange(len(x)) - np.searchsorted(x, x)
+    return x[place < top_k], y[place < top_k], score[place < top_k]
+
+
 def search_reranked(store: VectorStore, vector: list[float], top_k: int = 10, factor: int = 5, condition: Filter | None = None) -> DataFrame:
-    """Top ``top_k * factor`` over codes, then exact scores of these (kept Float32 vectors) and top-k."""
-    coarse = search_by_vector(store, vector, max(top_k, 1) * factor, condition=condition, payload=False).select("id")
+    """Top ``top_k * factor`` over codes, then exact scores of these (kept Float32 vectors) and top-k.
+
+    The first scan reads codes only; up to ``FETCHED`` of its rows are then read by position.
+    """
+    coarse = search_by_vector(store, vector, max(top_k, 1) * factor, condition=condition, payload=False)
     q = _query(store, vector)
     metric = metric_of(store.definition.metric)
-    exact = store.rows.join(F.broadcast(coarse), "id", "left_semi").withColumn("score", score(metric, F.col("vector"), F.lit(q)))  # top_k * factor ids
+    few = max(top_k, 1) * factor <= FETCHED
+    rows = store.rows.where(F.col("seq").isin([r["seq"] for r in coarse.collect()])) if few else store.rows.join(coarse.select("id"), "id", "left_semi")
+    exact = rows.select("id", "seq", score(metric, F.col("vector"), F.lit(q)).alias("score"))
     order = F.col("score").asc() if lower_is_better(metric) else F.col("score").desc()
     return exact.select("id", "seq", "score").orderBy(order, "seq").limit(max(top_k, 1))
 

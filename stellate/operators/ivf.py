@@ -1,67 +1,136 @@
-"""Approximate search by inverted lists: k-means on a bounded sample, every row in its list, nearest lists probed."""
+"""Approximate search by inverted lists: k-means on a bounded sample, every row written under its list, nearest lists read."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.vectors import euclidean, lower_is_better, metric_of, score
-from ..store import VectorStore
-from .search import search_batch
+from ..functions.vectors import lower_is_better, metric_of, score
+from ..sources.shared import shared_folder
+from ..store import VectorStore, quoted
+from .filters import Filter
+from .search import candidates, search_batch, search_by_vector
+
+MOST_LISTS = 4096
+
+
+def _with_list(rows: DataFrame) -> StructType:
+    return StructType([*rows.schema.fields, StructField("list", IntegerType())])
+
+
+def _near(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances to all centers, up to what is the same for each of them."""
+    return (centers * centers).sum(axis=1)[None, :] - 2 * (v.astype(float) @ centers.T)
 
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """``rows`` are all live rows with ``list``, that of the nearest center."""
+    """``rows`` are all live rows of the store with ``list``, that of the nearest center, in a table partitioned by it."""
 
     store: VectorStore
-    centers: list[list[float]]
+    centers: np.ndarray
     rows: DataFrame
 
     @staticmethod
-    def build(store: VectorStore, lists: int = 16, sample: int = 50_000, seed: int = 7) -> IvfIndex:
-        """Centers are fitted on at most about ``sample`` rows, taken by a hash of the id; every row is indexed."""
-        live = store.live()
-        share = min(1.0, sample / max(live.count(), 1))
+    def build(store: VectorStore, lists: int | None = None, sample: int = 50_000, seed: int = 7, folder: str | None = None) -> IvfIndex:
+        """Centers are fitted on about ``sample`` rows, taken by a hash of the id; every row is indexed.
+
+        The number of lists is by default about the root of the number of rows.  Rows (ids, positions, vectors
+        and promoted fields) are written to ``folder`` with a directory for each list, the centers beside them.
+        """
+        spark, live = store.rows.sparkSession, store.live()
+        n = live.count()
+        lists = lists or min(MOST_LISTS, max(8, math.isqrt(n)))
+        share = min(1.0, sample / max(n, 1))
         some = live.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
         model = KMeans(k=lists, seed=seed, maxIter=15).fit(some)
-        centers = [[float(x) for x in c] for c in model.clusterCenters()]
-        return IvfIndex(store, centers, live.withColumn("list", _nearest(centers)))
+        centers = np.array(model.clusterCenters(), float)
+        dimension, folder = store.definition.dimension, folder or shared_folder(spark, "ivf")
+        rows = live.select("id", "seq", "vector", *[quoted(c) for c in store.definition.indexed])
+        at = rows.columns.index("vector")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = np.asarray(batch.column(at).flatten()).reshape(batch.num_rows, dimension)
+                nearest = _near(v, centers).argmin(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest)], names=[*batch.schema.names, "list"])
+
+        dealt = rows.mapInArrow(assign, _with_list(rows))
+        dealt.repartitionByRange("list", "seq").sortWithinPartitions("list", "seq").write.partitionBy("list").parquet(f"{folder}/rows")
+        spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "list int, center array<double>").coalesce(1).write.parquet(f"{folder}/centers")
+        return IvfIndex.load(store, folder)
+
+    @staticmethod
+    def load(store: VectorStore, folder: str) -> IvfIndex:
+        """An index that was built over this version of the store."""
+        spark = store.rows.sparkSession
+        centers = sorted(spark.read.parquet(f"{folder}/centers").collect())  # MOST_LISTS rows at most
+        names = [*store.definition.indexed]
+        schema = _with_list(store.rows.select("id", "seq", "vector", *[quoted(c) for c in names]))
+        return IvfIndex(store, np.array([r["center"] for r in centers], float), spark.read.schema(schema).parquet(f"{folder}/rows"))
+
+    def nearest_lists(self, vector: list[float], probes: int) -> list[int]:
+        return [int(k) for k in np.argsort(_near(np.array([vector], float), self.centers)[0], kind="stable")[:probes]]
+
+    def probed(self, vector: list[float], probes: int, condition: Filter | None = None) -> DataFrame:
+        """Rows of the lists nearest to the query: the scan reads their directories only."""
+        rows = self.rows.where(F.col("list").isin(self.nearest_lists(vector, probes)))
+        return rows if condition is None else rows.where(condition.column(self.store.definition.indexed))
 
-    def search(self, vector: list[float], top_k: int = 10, probes: int = 4) -> DataFrame:
-        """Exact scores within the ``probes`` lists whose centers are nearest to the query."""
-        near = sorted(range(len(self.centers)), key=lambda k: sum((a - b) ** 2 for a, b in zip(vector, self.centers[k], strict=True)))[:probes]
+    def search(self, vector: list[float], top_k: int = 10, probes: int = 4, condition: Filter | None = None) -> DataFrame:
+        """``id, seq, score``: exact scores within the ``probes`` lists whose centers are nearest to the query.
+
+        ``condition`` may use promoted fields.
+        """
         metric = metric_of(self.store.definition.metric)
-        rows = self.rows.where(F.col("list").isin(near)).withColumn("score", score(metric, F.col("vector"), F.lit([float(x) for x in vector])))
+        rows = self.probed(vector, probes, condition).withColumn("score", score(metric, F.col("vector"), F.lit([float(x) for x in vector])))
         order = F.col("score").asc() if lower_is_better(metric) else F.col("score").desc()
         return rows.select("id", "seq", "score").orderBy(order, "seq").limit(max(top_k, 1))
 
+    def search_routed(self, vector: list[float], top_k: int = 10, condition: Filter | None = None, probes: int = 4, flat_below: int = 10_000) -> tuple[str, DataFrame]:
+        """The route, FLAT or IVF, and its hits.
+
+        Up to ``flat_below`` candidates after the filter are searched exactly, which costs no more than the
+        lists and loses none; more are searched in the lists, where a filter may use promoted fields only.
+        """
+        few = candidates(self.store, condition).select("id").limit(flat_below + 1).count() <= flat_below
+        if few:
+            return "FLAT", search_by_vector(self.store, vector, top_k, condition=condition, payload=False)
+        return "IVF", self.search(vector, top_k, probes, condition)
 
     def recall(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """``probes, recall``: share of the exact ``top_k`` of all ``queries`` (``query_id, vector``) found with so many lists.
 
         Scores within a list are exact, so a neighbour is found as soon as its list is probed.
         """
+        centers, dimension = self.centers, self.store.definition.dimension
         exact = search_batch(self.store, queries, top_k).select("query_id", "id")
-        near = F.array_sort(F.array(*[F.struct(euclidean(F.col("vector"), F.lit(c)).alias("d"), F.lit(k).alias("list")) for k, c in enumerate(self.centers)]))
-        near = queries.select(F.col("query_id").cast("string").alias("query_id"), F.transform(near, lambda x: x["list"]).alias("near"))
-        place = F.array_position("near", F.col("list"))
-        found = exact.join(near, "query_id").join(self.rows.select("id", "list"), "id").select(place.alias("place"))
-        shares = found.agg(F.array(*[F.avg((F.col("place") <= p).cast("double")) for p in range(1, len(self.centers) + 1)]).alias("shares"))
-        return shares.select(F.posexplode("shares").alias("p", "recall")).select((F.col("p") + 1).alias("probes"), "recall")
+
+        def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, dimension)
+                place = np.argsort(np.argsort(_near(v, centers), axis=1, kind="stable"), axis=1, kind="stable")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(place.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "place"])
+
+        near = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").mapInArrow(order, "query_id string, place array<int>")
+        found = exact.join(near, "query_id").join(self.rows.select("id", "list"), "id").select(F.get("place", F.col("list")).alias("place"))
+        counted = found.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a list
+        counts = np.bincount([r["place"] for r in counted], weights=[r["n"] for r in counted], minlength=len(centers)) if counted else np.zeros(len(centers))
+        shares = np.cumsum(counts) / max(counts.sum(), 1)
+        return queries.sparkSession.createDataFrame([(k + 1, float(x)) for k, x in enumerate(shares)], "probes int, recall double")
 
     def enough(self, recall: float = 0.92, top_k: int = 10, sample: int = 256) -> int:
         """Least number of probes with the recall over about ``sample`` rows as queries, taken by a hash of the id."""
         live = self.store.live()
         share = min(1.0, sample / max(live.count(), 1))
         queries = live.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)).select(F.col("id").alias("query_id"), "vector")
-        met = [r["probes"] for r in self.recall(queries, top_k).collect() if r["recall"] is not None and r["recall"] >= recall]  # one row a list
+        met = [r["probes"] for r in self.recall(queries, top_k).collect() if r["recall"] >= recall]  # a row a list
         return min(met, default=len(self.centers))
-
-
-def _nearest(centers: list[list[float]]):
-    distances = F.array(*[euclidean(F.col("vector"), F.lit(c)) for c in centers])
-    return F.array_position(distances, F.array_min(distances)).cast("int") - 1

@@ -44,23 +44,30 @@ def test_recall(spark):
     assert queries.QUERIES["ivf_topk"](spark, FOLDER).first()["id"] == "0"
 
 
-def test_ivf_probes_reach_the_recall(spark):
+def test_ivf_probes_reach_the_recall_and_prune(spark):
     from pyspark.sql import functions as F
+    from stellate.operators import filters as f
     from stellate.operators.ivf import IvfIndex
     from stellate.operators.search import search_batch
 
     folder = "/root/testdata/sf0.01"
     index = IvfIndex.build(queries._emb(spark, folder), lists=8)
-    probes = max(4, index.enough())
-    report = {r["probes"]: r["recall"] for r in queries.QUERIES["ivf_recall"](spark, folder).collect()}
+    probes = index.enough()
+    every = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    report = {r["probes"]: r["recall"] for r in index.recall(every.where("query_id % 3 = 0")).collect()}
     assert sorted(report) == list(range(1, 9)) and report[8] == 1 and report[probes] >= 0.9
-    some = spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 400 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    some = every.where("query_id % 100 = 0")
     exact = {}
     for r in search_batch(index.store, some, 10).collect():
         exact.setdefault(r["query_id"], set()).add(r["id"])
     hits = sum(len(exact[str(r["query_id"])] & {h["id"] for h in index.search(list(r["vector"]), 10, 2).collect()}) for r in some.collect())
     two = {r["probes"]: r["recall"] for r in index.recall(some).collect()}[2]
     assert abs(hits / sum(map(len, exact.values())) - two) < 1e-9
+    q = queries._vector(spark, folder)
+    scan = index.probed(q, 2)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan and 0 < scan.count() < index.rows.count() == index.store.rows.count()
+    assert index.search_routed(q, condition=f.eq("label", 3))[0] == "FLAT" and index.search_routed(q, flat_below=10)[0] == "IVF"
 
 
 def test_searches_without_k_have_no_limit(spark):

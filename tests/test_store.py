@@ -119,6 +119,96 @@ def test_snapshots(spark, tmp_path):
     assert storage.load(d) is None
 
 
+def folders(path):
+    return {p.name for p in path.iterdir() if p.name.startswith("v-")}
+
+
+def test_changes_of_a_saved_store_touch_some_buckets(spark, tmp_path):
+    storage = SnapshotStorage(spark, f"file://{tmp_path}", keep=2)
+    d = StoreDefinition("b", 2, "EUCLIDEAN", 1000, indexed={"k": "string"}, buckets=8)
+    rows = [(str(k), [k, 1], f"t{k}", {"k": f"v{k % 5}"}) for k in range(60)]
+    engine = Engine(spark, storage)
+    engine.create_store("b", d)
+    engine.upsert("b", batch(spark, rows))
+    first = storage.current("b")
+    assert first["count"] == 60 and first["top"] == 59 and len({*first["buckets"].values()}) == 1
+    engine.upsert("b", batch(spark, [("7", [70, 1], "seven", {"k": "x"}), ("new", [0, 0], "n", None)]))
+    second = storage.current("b")
+    changed = {k for k in second["buckets"] if second["buckets"][k] != first["buckets"].get(k)}
+    assert 1 <= len(changed) <= 2 and second["count"] == 61 and second["top"] == 61 and second["number"] == 2
+    store = engine.get_store("b")
+    got = {r["id"]: (r["seq"], r["text"], r["vector"]) for r in store.live().collect()}
+    assert got["7"] == (7, "seven", [70.0, 1.0]) and got["new"][0] == 61 and got["8"] == (8, "t8", [8.0, 1.0]) and len(got) == 61
+    assert engine.delete_by_ids("b", ["8", "8", "nobody"]) == 1 and engine.delete_by_filter("b", f.eq("k", "x")) == 1
+    assert storage.current("b")["count"] == 59 and len(folders(tmp_path / "b")) == 1 + len({v for n in (3, 4) for v in storage._pointer("b", n)["buckets"].values()} - {*first["buckets"].values()})
+    assert sorted(p.name for p in (tmp_path / "b/pointer").iterdir() if p.name.isdigit()) == [f"{n:012d}" for n in (3, 4)]
+    engine.upsert("b", batch(spark, [("8", [8, 8], "back", None)]))
+    again = Engine(spark, storage)
+    again.create_store("b", d)
+    again.reload("b")
+    assert {r["id"]: r["seq"] for r in again.get_store("b").live().collect()}["8"] == 8 and again.stats("b").first()["doc_count"] == 60
+    with pytest.raises(ValueError):
+        engine.upsert("b", batch(spark, [(f"x{k}", [0, 0], None, None) for k in range(950)]))
+    assert storage.current("b")["count"] == 60
+    engine.upsert("b", batch(spark, [("after", [0, 0], None, None)]))  # a failed writer gave its claim back
+    (tmp_path / f"b/pointer/{storage.current('b')['number'] + 1:012d}.claim").write_text("")
+    with pytest.raises(RuntimeError, match="another writer"):
+        engine.upsert("b", batch(spark, [("late", [0, 0], None, None)]))
+
+
+def test_saved_store_freezes_once_and_keeps_codes(spark, tmp_path):
+    storage = SnapshotStorage(spark, f"file://{tmp_path}")
+    engine = Engine(spark, storage)
+    engine.create_store("q", StoreDefinition("q", 8, "COSINE", quantization="SQ8", freeze_rows=32, buckets=4))
+    rows = [(str(k), [float(x) for x in r], None, None) for k, r in enumerate(unit(40, 8, 3))]
+    engine.upsert("q", batch(spark, rows[:20]))
+    assert engine.get_store("q").params is None
+    engine.upsert("q", batch(spark, rows[20:]))
+    store = engine.get_store("q")
+    assert store.params is not None and storage.current("q")["frozen"]
+    plan = search.scored(store, rows[0][1]).select("id", "seq", "score")._jdf.queryExecution().executedPlan().toString()
+    assert "code:array<tinyint>" in plan and "vector:array" not in plan  # the scan reads codes only
+    codes = {r["id"]: r["code"] for r in store.rows.collect()}
+    engine.upsert("q", batch(spark, [("far", [100.0] * 8, None, None)]))
+    store = engine.get_store("q")
+    now = {r["id"]: r["code"] for r in store.rows.collect()}
+    assert {k: now[k] for k in codes} == codes and now["far"] == [127] * 8
+
+
+def test_store_with_position_0_and_other_kinds(spark):
+    d = StoreDefinition("z", 1, indexed={"n": "int", "a.b": "string"})
+    s = VectorStore.empty(spark, d).upsert(batch(spark, [("a", [1], None, {"n": 1, "a.b": "x"})])).upsert(batch(spark, [("b", [1], None, {"n": 2})]))
+    assert [(r["id"], r["seq"]) for r in s.page().select("id").join(s.rows.select("id", "seq"), "id").orderBy("seq").collect()] == [("a", 0), ("b", 1)]
+    hits = lambda c: sorted(ids(search.candidates(s, c)))
+    assert hits(f.in_("n", [True])) == hits(f.in_("n", ["1"])) == hits(f.eq("n", True)) == [] and hits(f.in_("n", [1, "a", True])) == ["a"] and hits(f.in_("n", [1.0, 2])) == ["a", "b"]
+    assert hits(f.eq("a.b", "x")) == hits(f.in_("a.b", ["x", 3])) == hits(f.prefix("a.b", "x")) == ["a"]
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
+def test_best_of_is_brute_force(metric):
+    rng = np.random.default_rng(1)
+    for n, dim, n_q, k in ((9000, 16, 40, 5), (50, 8, 7, 10), (10000, 4, 10, 3), (1, 3, 2, 10), (8200, 32, 5, 300)):
+        v, q, seq = rng.normal(size=(n, dim)).astype(np.float32), rng.normal(size=(n_q, dim)), rng.permutation(n)
+        v[rng.random(n) < 0.5], q[0], v[n // 2] = v[0], 0, 0  # ties and zero vectors
+        x, y, s = search.best_of(q, v, seq, metric, k)
+        for i in range(n_q):
+            exact = search.exact_scores(q[i], v, metric)
+            want = np.lexsort((seq, exact if metric == "EUCLIDEAN" else -exact))[:k]
+            assert list(y[x == i]) == list(want) and (s[x == i] == exact[want]).all()
+
+
+def test_batch_in_several_blocks_and_chunks(spark, monkeypatch):
+    v = unit(300, 8, 5)
+    docs = spark.createDataFrame([(str(k), k, [float(x) for x in row]) for k, row in enumerate(v)], "id string, seq long, vector array<float>")
+    store = VectorStore.from_documents(docs, StoreDefinition("m", 8))
+    queries = docs.select(F.col("id").alias("query_id"), "vector")
+    whole = sorted(search.search_batch(store, queries, 3).collect())
+    monkeypatch.setattr(search, "BLOCK_BYTES", 64 * 40)
+    assert len(search.query_blocks(queries, 8)[1]) > 1 and sorted(search.search_batch(store, queries, 3).collect()) == whole and len(whole) == 900
+    with pytest.raises(Exception, match="8 numbers"):
+        search.search_batch(store, spark.createDataFrame([("q", [1.0])], "query_id string, vector array<double>"))
+
+
 class Counting(CharacterProvider):
     def __init__(self):
         super().__init__(8)

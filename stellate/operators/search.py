@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import sq8
@@ -99,64 +101,68 @@ def hybrid_search(store: VectorStore, vector: list[float] | None = None, text: s
 def search_batch(store: VectorStore, queries: DataFrame, top_k: int = 10, min_score: float | None = None, condition: Filter | None = None) -> DataFrame:
     """``query_id, rank, id, seq, score`` for every row of ``queries`` (``query_id, vector``).
 
-    Queries are written in blocks of bounded bytes to the shared folder, from where tasks read them one at a
-    time; the driver sees the names of the blocks only.  A task holds a bounded chunk of the store, scores it
-    against each block by float32 products, and scores again, in double, what these can't tell from the best
-    ``top_k``.  Each chunk gives at most ``top_k`` rows a query, ties by ``seq``; a window ranks them.
+    Up to ``BLOCK_BYTES`` of queries go to the tasks with their code.  More are written in blocks of so many
+    bytes to the shared folder, from where tasks read them one at a time; of these the driver sees the names
+    of the files only.  A task holds a bounded chunk of the store, scores it against each block by float32
+    products, and scores again, in double, what these can't tell from the best ``top_k``.  Each chunk gives
+    at most ``top_k`` rows a query, ties by ``seq``; a window ranks them.  Rows of ``queries`` that share a
+    ``query_id`` are queries of their own.
     """
     d = store.definition
     top_k, metric = max(top_k, 1), metric_of(d.metric)
-    names, blocks = query_blocks(queries, d.dimension)
     rows = candidates(store, condition).select("id", "seq", F.col("code" if store.params else "vector").alias("vector"))
-    out = rows.mapInArrow(_scorer(blocks, metric, d.dimension, top_k, min_score, store.params), "query long, id string, seq long, score double")
+    run = _scorer(query_blocks(queries, d.dimension), metric, d.dimension, top_k, min_score, store.params)
+    out = rows.mapInArrow(run, "query long, query_id string, id string, seq long, score double")
     order = F.col("score").asc() if lower_is_better(metric) else F.col("score").desc()
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "seq"))).where(F.col("rank") <= top_k)
-    return ranked.join(names, "query").select("query_id", "rank", "id", "seq", "score")
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "seq")))
+    return ranked.where(F.col("rank") <= top_k).select("query_id", "rank", "id", "seq", "score")
 
 
-def query_blocks(queries: DataFrame, dimension: int) -> tuple[DataFrame, list[str]]:
-    """Queries as ``query, query_id`` with a number each, and the files with blocks of numbers and vectors.
+Block = tuple[np.ndarray, pa.Array, np.ndarray]  # numbers, names and vectors of queries
 
-    Raises on a vector of another length.  Rows that share a ``query_id`` are queries of their own.
-    """
+
+def _block(first: int, names: pa.Array, lists: pa.Array, dimension: int) -> Block:
+    """A block of queries with numbers from ``first``; raises on a vector of another length."""
+    lists = lists.cast(pa.list_(pa.float64()))
+    wrong = pc.fill_null(pc.not_equal(pc.list_value_length(lists), dimension), True)
+    if pc.any(wrong).as_py():
+        raise ValueError(f"query {names.filter(wrong)[0]}: {dimension} numbers are needed")
+    return np.arange(first, first + len(names)), names, np.asarray(lists.flatten()).reshape(-1, dimension)
+
+
+def query_blocks(queries: DataFrame, dimension: int) -> list[Block] | list[str]:
+    """The one block of the queries, or the files of several."""
     spark = queries.sparkSession
-    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    queries = queries.withColumn("query", F.monotonically_increasing_id())
+    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
     most = max(1, BLOCK_BYTES // (8 * dimension))
-    folder = shared_folder(spark, "queries")
-    queries.write.parquet(f"{folder}/rows")  # numbers must not change from one read to the next
-    queries = spark.read.parquet(f"{folder}/rows")
-    n = queries.count()
+    few = queries.limit(most + 1).toArrow().combine_chunks()  # one block and a row at most
+    if len(few) <= most:
+        return [_block(0, few.column(0).combine_chunks(), few.column(1).combine_chunks(), dimension)] if len(few) else []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, vectors = [], []
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"numbers": pa.array([numbers], pa.list_(pa.int64())), "vectors": pa.array([b"".join(vectors)], pa.binary())})
-
+        first = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for number, name, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if v is None or len(v) != dimension:
-                    raise ValueError(f"query {name}: {dimension} numbers are needed")
-                numbers.append(number), vectors.append(np.array(v, float).tobytes())
-                if len(numbers) == most:
-                    yield block()
-                    numbers, vectors = [], []
-        if numbers:
-            yield block()
-
-    packed = queries.select("query", "query_id", "vector").repartition(max(1, -(-n // most))).mapInArrow(pack, "numbers array<long>, vectors binary")
-    packed.write.option("parquet.block.size", BLOCK_BYTES).parquet(f"{folder}/blocks")
-    return queries.select("query", "query_id"), sorted(spark.read.parquet(f"{folder}/blocks").inputFiles())
-
-
-def _scorer(paths: list[str], metric: str, dimension: int, top_k: int, min_score: float | None, params: sq8.Params | None):
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for path in paths:
-            with opened(path) as file:
-                for batch in pq.ParquetFile(file).iter_batches(batch_size=1, columns=["numbers", "vectors"]):
-                    for numbers, raw in zip(batch.column(0), batch.column(1), strict=True):
-                        yield np.array(numbers.as_py(), np.int64), np.frombuffer(raw.as_py(), float).reshape(-1, dimension)
+            for at in range(0, batch.num_rows, most):
+                _, names, vectors = _block(first, batch.column(0)[at : at + most], batch.column(1)[at : at + most], dimension)
+                yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int64()), "names": pa.array([names.to_pylist()], pa.list_(pa.string())), "vectors": pa.array([vectors.tobytes()], pa.binary())})
+                first += len(names)
+
+    folder = shared_folder(spark, "queries")
+    packed = queries.repartition(max(1, -(-queries.count() // most))).mapInArrow(pack, "first long, names array<string>, vectors binary")
+    packed.write.option("parquet.block.size", BLOCK_BYTES).parquet(folder)
+    return sorted(spark.read.parquet(folder).inputFiles())
+
+
+def _scorer(queries: list[Block] | list[str], metric: str, dimension: int, top_k: int, min_score: float | None, params: sq8.Params | None):
+    def blocks() -> Iterator[Block]:
+        for source in queries:
+            if not isinstance(source, str):
+                yield source
+                continue
+            with opened(source) as file:
+                for batch in pq.ParquetFile(file).iter_batches(batch_size=1, columns=["first", "names", "vectors"]):
+                    for first, names, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        yield np.arange(first, first + len(names)), pa.array(names, pa.string()), np.frombuffer(raw, float).reshape(-1, dimension)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, scale = (np.array(params.low), np.array(params.scale)) if params else (None, None)
@@ -169,9 +175,9 @@ def _scorer(paths: list[str], metric: str, dimension: int, top_k: int, min_score
             v = np.asarray(table.column(2).chunk(0).flatten()).reshape(len(seq), dimension)
             if params:
                 v = low + scale * (v.astype(float) + 128)
-            for numbers, q in blocks():
+            for numbers, names, q in blocks():
                 a, b, score = best_of(q, v, seq, metric, top_k, min_score)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[a]), ids.take(pa.array(b)), pa.array(seq[b]), pa.array(score)], names=["query", "id", "seq", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[a]), names.take(pa.array(a)), ids.take(pa.array(b)), pa.array(seq[b]), pa.array(score)], names=["query", "query_id", "id", "seq", "score"])
 
         for batch in batches:
             if batch.num_rows:

@@ -9,6 +9,7 @@ from dataclasses import replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import sq8
 from ..operators.filters import Filter
@@ -42,7 +43,12 @@ class SnapshotStorage:
         return sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()) if fs.exists(path) else []
 
     def _pointer(self, name: str, number: int) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/{name}/pointer/{number:012d}", wholetext=True).first()[0]) | {"number": number}
+        path, fs = self._path(name, "pointer", f"{number:012d}")
+        file = fs.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")) | {"number": number}
+        finally:
+            file.close()
 
     def current(self, name: str) -> dict | None:
         numbers = self._numbers(name)
@@ -106,9 +112,9 @@ class SnapshotStorage:
         names = [f.getPath().getName() for f in fs.listStatus(path)]
         buckets = {n.partition("=")[2]: folder for n in names if n.startswith("bucket=")}  # at most the definition's number
         if not buckets:
-            return {"buckets": {}, "count": 0, "top": None}
-        n, top = self.spark.read.parquet(at).agg(F.count_if(~F.col("deleted")), F.max("seq")).first()
-        return {"buckets": buckets, "count": n, "top": top}
+            return {"buckets": {}, "count": 0, "top": None, "schema": rows.schema.json()}
+        n, top = self.spark.read.schema(rows.schema).parquet(at).agg(F.count_if(~F.col("deleted")), F.max("seq")).first()
+        return {"buckets": buckets, "count": n, "top": top, "schema": rows.schema.json()}
 
     def load(self, definition: StoreDefinition) -> VectorStore | None:
         """The saved store, or None if there is none.
@@ -134,7 +140,7 @@ class SnapshotStorage:
         if not paths:
             rows = self.spark.createDataFrame([], definition.schema())
             return VectorStore(definition, sq8.with_codes(rows, params) if params else rows, params)
-        rows = self.spark.read.parquet(*paths)
+        rows = self.spark.read.schema(StructType.fromJson(json.loads(found["schema"]))).parquet(*paths)
         for c in definition.schema().names:
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.try_variant_get("metadata", f"$['{c}']", definition.indexed[c]))
@@ -203,7 +209,7 @@ class SnapshotStorage:
         buckets = {k: v for k, v in found["buckets"].items() if k not in touched} | new["buckets"]
         tops = [t for t in (found["top"], new["top"]) if t is not None]
         kept = {k: found[k] for k in ("definition", "frozen", "params")}
-        self._publish(d.name, found["number"] + 1, kept | {"buckets": buckets, "count": found["count"] - before + new["count"], "top": max(tops, default=None)})
+        self._publish(d.name, found["number"] + 1, kept | {"buckets": buckets, "count": found["count"] - before + new["count"], "top": max(tops, default=None), "schema": new["schema"]})
 
     def delete(self, name: str) -> None:
         """Remove every version of a store."""

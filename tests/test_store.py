@@ -204,7 +204,8 @@ def test_batch_in_several_blocks_and_chunks(spark, monkeypatch):
     queries = docs.select(F.col("id").alias("query_id"), "vector")
     whole = sorted(search.search_batch(store, queries, 3).collect())
     monkeypatch.setattr(search, "BLOCK_BYTES", 64 * 40)
-    assert len(search.query_blocks(queries, 8)[1]) > 1 and sorted(search.search_batch(store, queries, 3).collect()) == whole and len(whole) == 900
+    assert all(isinstance(x, str) for x in search.query_blocks(queries, 8)) and len(search.query_blocks(queries, 8)) > 1 and sorted(search.search_batch(store, queries, 3).collect()) == whole and len(whole) == 900
+    assert search.search_batch(store, queries.limit(0), 3).count() == 0
     with pytest.raises(Exception, match="8 numbers"):
         search.search_batch(store, spark.createDataFrame([("q", [1.0])], "query_id string, vector array<double>"))
 

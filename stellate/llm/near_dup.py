@@ -205,8 +205,9 @@ def _digest(text: str = "text"):
 def _near_heads(stars: DataFrame, block: int) -> DataFrame:
     """Units ``node, unit, side`` of texts with the head that they share most keys with, about ``block`` texts each."""
     best = stars.groupBy("digest").agg(F.max(F.struct("shared", "head")).alias("best")).select("digest", F.col("best.head").alias("head"))
-    chunks = best.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).alias("chunks"))
-    dealt = best.join(chunks, "head").select("digest", "head", F.pmod(F.xxhash64("digest"), F.col("chunks")).alias("chunk"))
+    best = written(best, "best")
+    chunks = best.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).alias("chunks"), F.count(F.lit(1)).alias("n"))
+    dealt = joined(best, written(chunks, "chunks"), "head", best.count()).select("digest", "head", F.pmod(F.xxhash64("digest"), F.col("chunks")).alias("chunk"))
     both = dealt.select(F.col("digest").alias("node"), "head", "chunk").union(dealt.select("head", "head", "chunk").distinct())
     return both.select("node", F.xxhash64("head", "chunk").alias("unit"), F.lit(0).alias("side"))
 
@@ -222,8 +223,8 @@ def _across(groups: DataFrame, first: DataFrame, texts: DataFrame, threshold: fl
     sized = groups.join(known, "node", "left").join(large, "class", "left").join(texts.select(F.col("digest").alias("node"), "n_shingles"), "node")
     sized = sized.select("component", "node", "n_shingles", F.coalesce("class", "node").alias("class"), F.when(F.col("large"), F.col("class")).otherwise(F.lit(b"")).alias("lane"), F.pmod(F.xxhash64("node"), F.lit(64)).alias("salt"))
     sized = written(sized, "sized")
-    apart = sized.groupBy("component").agg((F.min("class") < F.max("class")).alias("apart")).where("apart").select("component")
-    sized = sized.join(apart, "component")
+    apart = sized.groupBy("component").agg((F.min("class") < F.max("class")).alias("apart"), F.count(F.lit(1)).alias("n")).where("apart").select("component", "n")
+    sized = joined(sized, written(apart, "apart"), "component", sized.count())
     # A lane's blocks get their numbers from counts by size, not from a sort of the lane.
     cells = sized.groupBy("component", "lane", "n_shingles", "salt").agg(F.count(F.lit(1)).alias("c"))
     before = F.sum("c").over(Window.partitionBy("component", "lane").orderBy("n_shingles", "salt")) - F.col("c")
@@ -280,9 +281,9 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     first = written(connected_components(near), "first")
     rest = written(_across(groups, first, texts, threshold, block), "rest")
     far = written(_verified(_with_texts(rest, rows_in, texts, n), threshold), "far")
-    classes = connected_components(near.union(far))
-    least = classes.join(texts.select(F.col("digest").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("class_id"))
-    named = classes.join(least, "component").select(F.col("node").alias("digest"), "class_id")
+    classes = written(connected_components(near.union(far)), "classes")
+    least = classes.join(texts.select(F.col("digest").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    named = joined(classes, written(least, "least"), "component", classes.count()).select(F.col("node").alias("digest"), "class_id")
     names = texts.select("digest", "least", F.col("copies").alias("n")).join(named, "digest", "left").select("digest", "n", F.coalesce("class_id", "least").alias("class_id"))
     names = written(names, "names")
     # Every row: its text's class, else its own.

@@ -152,15 +152,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> dict | None:
             held[:] = False
         if len({*y}) < 2:
             return pd.DataFrame({"at": [], "weights": [], "intercept": []})
-        known, index = np.unique(np.concatenate([np.frombuffer(a, np.int32) for a in rows["at"]]), return_inverse=True)
-        cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows["x"]])])
-        sparse = [(index[a:b], np.frombuffer(x, np.float32).astype(float)) for a, b, x in zip(cuts[:-1], cuts[1:], rows["x"], strict=True)]
+        # Views of what came, not copies; weights have a place for every bucket.
+        sparse = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(rows["at"], rows["x"], strict=True)]
         fitted = np.flatnonzero(~held)
-        w, b = fit_logistic([sparse[k] for k in fitted], y[fitted], len(known))
+        w, b = fit_logistic([sparse[k] for k in fitted], y[fitted], 3 << BITS)
         tested = np.flatnonzero(held) if held.any() else fitted
         score = np.array([w[sparse[k][0]] @ sparse[k][1] for k in tested]) + b
         slope, intercept = platt(score, y[tested])
-        return pd.DataFrame({"at": [known.tobytes()], "weights": [(w * slope).astype(np.float32).tobytes()], "intercept": [b * slope + intercept]})
+        at = np.flatnonzero(w).astype(np.int32)
+        return pd.DataFrame({"at": [at.tobytes()], "weights": [(w[at] * slope).astype(np.float32).tobytes()], "intercept": [b * slope + intercept]})
 
     made = arrow_map(rows, "id_hash long, label int, at binary, x binary", features)
     model = made.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(train, "at binary, weights binary, intercept double").collect()

@@ -2,8 +2,8 @@
 
 Fitting takes labelled rows: all of them up to ``sample`` (documented bound), beyond it those whose id
 hashes lowest.  Sparse features of the sample, in 2**BITS buckets for words, pairs of words and character
-trigrams each, are made by executors and fitted in one task of bounded size: at most ``sample`` documents,
-one row each.  A fifth of it, by id hash, is kept out of the fit and calibrates the probability (Platt).
+trigrams each, are made and fitted in one task of bounded size: at most ``sample`` documents, one row each,
+whose texts take less room than their features.  A fifth of it, by id hash, is kept out of the fit and calibrates the probability (Platt).
 Scoring runs over Arrow batches of whole texts.
 """
 
@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, kept_columns, quoted, span_hashes, text_blocks, window_hashes, word_spans
+from .common import kept_columns, quoted, span_hashes, text_blocks, window_hashes, word_spans
 from .text_features import linear_scores, sparse_features
 
 BITS = 18
@@ -139,11 +139,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> dict | None:
     """
     rows = sampled_texts(docs, sampled_ids(labels, "quality", sample, 7))
 
-    def features(batch: pa.RecordBatch) -> Iterator[dict]:
-        for first, last, data, offsets in text_blocks(batch.column(1)):
-            found = sparse_features(data, offsets, BITS)
-            yield {"id_hash": batch.column(0)[first:last], "label": batch.column(2)[first:last], "at": pa.array([a.tobytes() for a, _ in found], pa.binary()), "x": pa.array([x.tobytes() for _, x in found], pa.binary())}
-
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id_hash")
         y = rows["label"].to_numpy(float)
@@ -152,8 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> dict | None:
             held[:] = False
         if len({*y}) < 2:
             return pd.DataFrame({"at": [], "weights": [], "intercept": []})
-        # Views of what came, not copies; weights have a place for every bucket.
-        sparse = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(rows["at"], rows["x"], strict=True)]
+        parts = [part for _, _, data, offsets in text_blocks(pa.array(rows["text"], pa.large_string())) for part in sparse_features(data, offsets, BITS)]
+        cuts = np.cumsum([0, *(len(at) for at, _ in parts)])
+        at, x = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        del parts
+        sparse = [(at[a:b], x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         fitted = np.flatnonzero(~held)
         w, b = fit_logistic([sparse[k] for k in fitted], y[fitted], 3 << BITS)
         tested = np.flatnonzero(held) if held.any() else fitted
@@ -162,8 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> dict | None:
         at = np.flatnonzero(w).astype(np.int32)
         return pd.DataFrame({"at": [at.tobytes()], "weights": [(w[at] * slope).astype(np.float32).tobytes()], "intercept": [b * slope + intercept]})
 
-    made = arrow_map(rows, "id_hash long, label int, at binary, x binary", features)
-    model = made.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(train, "at binary, weights binary, intercept double").collect()
+    model = rows.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(train, "at binary, weights binary, intercept double").collect()
     return {"at": bytes(model[0]["at"]), "weights": bytes(model[0]["weights"]), "intercept": model[0]["intercept"]} if model else None
 
 

@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Callable
+from functools import cached_property
 
 #: Most words that a worker remembers, and the longest one in characters.
 MEMORY, LONGEST_KEY = 900_000, 64
@@ -72,9 +73,14 @@ class ByteLevelIds:
             vocabulary = json.load(f)["model"]["vocab"]
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
         self.engine = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.whole = tokenizer(path)
+        self.path = path
         self.long = re.compile(rf"\s{{{LONGEST_RUN}}}|\S{{{LONGEST_RUN}}}").search
 
+    @cached_property
+    def whole(self):
+        """The library, made when a text first needs it."""
+        return tokenizer(self.path)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""

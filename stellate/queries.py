@@ -192,7 +192,7 @@ _query("batch_topk_l2", _batch_sql(_SCALED, "EUCLIDEAN", 5))(_batch("scaled", "E
 _query("batch_topk_filtered", _batch_sql(_EMB, "COSINE", 10, "label IN (1, 2)"))(_batch("plain", "COSINE", 10, f.in_("label", [1, 2])))
 
 
-@_query("batch_topk_ties", "SELECT q.vec_id::VARCHAR AS query_id, r.rank, r.vec_id::VARCHAR AS id, 0.0 AS score FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id, row_number() OVER (ORDER BY vec_id)::INTEGER AS rank FROM embeddings) r WHERE r.rank <= 10")
+@_query("batch_topk_ties", "SELECT q.vec_id::VARCHAR AS query_id, r.rank, r.vec_id::VARCHAR AS id, 0.0::DOUBLE AS score FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id, row_number() OVER (ORDER BY vec_id)::INTEGER AS rank FROM embeddings) r WHERE r.rank <= 10")
 def batch_topk_ties(spark, d):
     """Zero vectors as queries: every row ties, the first ten by position win."""
     zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))

@@ -15,7 +15,8 @@
    have not.  First each text meets the head that it shares most keys with, and others of that head;
    components of these links are classes already.  Then, in groups that are still several classes, texts
    sorted by their number of shingles are cut into blocks, and pairs of blocks are compared, but for those
-   within one large class and those whose sizes rule out the similarity.
+   within one large class and those whose sizes rule out the similarity.  In a group of so many blocks that
+   this would take a text more often than it has keys, the sets of texts by key are treated so instead.
 5. Components of the links of both passes are the classes.
 
 At a similarity of 0.8 two texts share none of 32 bands of 5 registers at weight 1 with a probability of
@@ -212,15 +213,15 @@ def _near_heads(stars: DataFrame, block: int) -> DataFrame:
     return both.select("node", F.xxhash64("head", "chunk").alias("unit"), F.lit(0).alias("side"))
 
 
-def _across(groups: DataFrame, first: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Units ``node, unit, side`` for all pairs of one group that ``first``, the classes so far, leaves apart.
+def _blocks(members: DataFrame, first: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """``component, node, n_shingles, at`` of ``members`` (``node, component``) in components of several classes.
 
-    A class of at least ``block`` texts is a lane of its own, whose blocks are not compared with each
-    other; the other texts of a group share a lane.  Groups that are one class need no more comparisons.
+    ``at`` is a lane and the number of a block of it.  A class of at least ``block`` texts is a lane of its
+    own; the other texts of a component share a lane.
     """
     known = first.withColumnRenamed("component", "class")
     large = known.groupBy("class").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= block).select("class", F.lit(True).alias("large"))
-    sized = groups.join(known, "node", "left").join(large, "class", "left").join(texts.select(F.col("digest").alias("node"), "n_shingles"), "node")
+    sized = members.join(known, "node", "left").join(large, "class", "left").join(texts.select(F.col("digest").alias("node"), "n_shingles"), "node")
     sized = sized.select("component", "node", "n_shingles", F.coalesce("class", "node").alias("class"), F.when(F.col("large"), F.col("class")).otherwise(F.lit(b"")).alias("lane"), F.pmod(F.xxhash64("node"), F.lit(64)).alias("salt"))
     sized = written(sized, "sized")
     apart = sized.groupBy("component").agg((F.min("class") < F.max("class")).alias("apart"), F.count(F.lit(1)).alias("n")).where("apart").select("component", "n")
@@ -232,7 +233,44 @@ def _across(groups: DataFrame, first: DataFrame, texts: DataFrame, threshold: fl
     place = F.row_number().over(Window.partitionBy("component", "lane", "n_shingles", "salt").orderBy("node")) - 1
     blocks = sized.withColumn("place", place).join(cells, ["component", "lane", "n_shingles", "salt"])
     at = F.struct("lane", F.floor((F.col("before") + F.col("place")) / block).cast("int").alias("block")).alias("at")
-    blocks = written(blocks.select("component", "node", "n_shingles", at), "blocks")
+    return written(blocks.select("component", "node", "n_shingles", at), "blocks")
+
+
+def _wide(blocks: DataFrame, most: int) -> DataFrame:
+    """``component, n`` (its rows) of components with over ``most`` pairs of blocks for each block, told by the lanes' lengths."""
+    lanes = blocks.groupBy("component", F.col("at.lane").alias("lane")).agg((F.max("at.block") + 1).cast("double").alias("b"), F.count(F.lit(1)).alias("c"))
+    inside = F.sum(F.when(F.col("lane") != F.lit(b""), F.col("b") * (F.col("b") + 1) / 2).otherwise(0.0))
+    wide = lanes.groupBy("component").agg(F.sum("b").alias("b"), inside.alias("inside"), F.sum("c").alias("n"))
+    return wide.where(F.col("b") * (F.col("b") + 1) / 2 - F.col("inside") > most * F.col("b")).select("component", "n")
+
+
+def _by_key(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, component`` for each set of ``nodes`` that share a band key; keys of one set count once."""
+    banded = written(texts.join(nodes.select(F.col("node").alias("digest")), "digest").select(F.col("digest").alias("node"), F.explode("keys").alias("key")), "banded")
+    count = F.count(F.lit(1))
+    name = F.concat_ws("-", F.hex(F.bit_xor(F.xxhash64("node"))), F.hex(F.bit_xor(F.xxhash64(F.lit("set"), "node"))), count.cast("string")).cast("binary")
+    sets = banded.groupBy("key").agg(name.alias("component"), count.alias("n")).where("n > 1")
+    return joined(banded, written(sets, "sets"), "key", banded.count()).select("node", "component").distinct()
+
+
+def _across(groups: DataFrame, first: DataFrame, texts: DataFrame, threshold: float, block: int, most: int = 2 * BANDS) -> DataFrame:
+    """Units ``node, unit, side`` for all pairs of one group that ``first``, the classes so far, leaves apart.
+
+    Groups that are one class need no more comparisons.  In a group whose blocks would be compared over
+    ``most`` times each, more than a text has keys, only texts that share a key are: its sets of texts by
+    key take the group's place, so a group that is long because it is a chain costs in proportion.
+    """
+    blocks = _blocks(groups, first, texts, block)
+    wide = written(_wide(blocks, most).withColumn("wide", F.lit(True)), "wide")
+    if wide.isEmpty():
+        return _units(blocks, threshold)
+    flagged = written(joined(blocks, wide, "component", blocks.count(), "left"), "flagged")
+    by_key = _blocks(_by_key(flagged.where("wide").select("node"), texts), first, texts, block)
+    return _units(flagged.where("wide is null").drop("wide"), threshold).union(_units(by_key, threshold))
+
+
+def _units(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Units ``node, unit, side`` for the pairs of blocks of one component; a large class's blocks are not compared with each other."""
     spans = blocks.groupBy("component", "at").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     # Pairs of blocks of one group whose sizes allow the similarity: |small| >= threshold * |large|.
     other = spans.select("component", F.col("at").alias("at2"), F.col("low").alias("low2"), F.col("high").alias("high2"))

@@ -389,6 +389,21 @@ def test_second_pass_covers_what_the_first_leaves_apart(spark):
     assert covered == want
 
 
+def test_wide_groups_are_compared_by_key(spark, monkeypatch):
+    """Chains of copies, each near the next ones alone, are one group of very many classes' worth of blocks."""
+    rng, every = random.Random(23), {}
+    words = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+    for k in range(320):  # of neighbours some are at 0.8, others just below
+        start = sum(6 + (j * 7) % 5 for j in range(k))
+        every[k] = " ".join(words[start : start + 74]) if start + 74 <= 3000 else words[k]
+    every |= {1000 + k: " ".join(["a", "b", "c", "d", f"e{k % 7}", "f", "g", "h"]) for k in range(20)}
+    seen, by_key = [], near_dup._by_key
+    monkeypatch.setattr(near_dup, "_by_key", lambda nodes, table: seen.append(nodes.count()) or by_key(nodes, table))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes_of(rows_of(spark, every.items()), block=2).collect()}
+    assert got == brute_classes(every) and len(set(got.values())) > 50
+    assert seen and seen[0] > 250
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 2**60, 300).astype(np.uint64), rng.integers(1, 2**60, 100).astype(np.uint64)

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.vectors import lower_is_better, metric_of, score
+from ..functions.vectors import COSINE, DOT_PRODUCT, lower_is_better, metric_of, score
 from ..sources.shared import shared_folder
 from ..store import VectorStore, quoted
 from .filters import Filter
@@ -31,20 +31,29 @@ def _near(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return (centers * centers).sum(axis=1)[None, :] - 2 * (v.astype(float) @ centers.T)
 
 
+#: More than rounding can make of an angle, or of a distance or product in proportion to its terms.
+SLACK = 1e-6
+
+
 @dataclass(frozen=True)
 class IvfIndex:
-    """``rows`` are all live rows of the store with ``list``, that of the nearest center, in a table partitioned by it."""
+    """``rows`` are all live rows of the store with ``list``, that of the nearest center, in a table partitioned by it.
+
+    ``spread`` has for each list the greatest distance and the greatest angle of its rows from its center.
+    """
 
     store: VectorStore
     centers: np.ndarray
     rows: DataFrame
+    spread: np.ndarray
 
     @staticmethod
     def build(store: VectorStore, lists: int | None = None, sample: int = 50_000, seed: int = 7, folder: str | None = None) -> IvfIndex:
         """Centers are fitted on about ``sample`` rows, taken by a hash of the id; every row is indexed.
 
         The number of lists is by default about the root of the number of rows.  Rows (ids, positions, vectors
-        and promoted fields) are written to ``folder`` with a directory for each list, the centers beside them.
+        and promoted fields) are written to ``folder`` with a directory for each list, the centers and how far
+        the rows of each are from it beside them.
         """
         spark, live = store.rows.sparkSession, store.live()
         n = live.count()
@@ -65,7 +74,20 @@ class IvfIndex:
 
         dealt = rows.mapInArrow(assign, _with_list(rows))
         dealt.repartitionByRange("list", "seq").sortWithinPartitions("list", "seq").write.partitionBy("list").parquet(f"{folder}/rows")
-        spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "list int, center array<double>").coalesce(1).write.parquet(f"{folder}/centers")
+
+        def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, dimension).astype(float)
+                c = centers[np.asarray(batch.column(0))]
+                length = np.sqrt((v * v).sum(axis=1)) * np.sqrt((c * c).sum(axis=1))
+                cosine = np.where(length == 0, -1.0, (v * c).sum(axis=1) / np.where(length == 0, 1.0, length))
+                far = [np.sqrt(((v - c) ** 2).sum(axis=1)), np.arccos(np.clip(cosine, -1, 1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, far)], names=["list", "distance", "angle"])
+
+        far = spark.read.schema(_with_list(rows)).parquet(f"{folder}/rows").select("list", "vector").mapInArrow(ends, "list int, distance double, angle double")
+        spread = {r["list"]: (r["distance"], r["angle"]) for r in far.groupBy("list").agg(F.max("distance").alias("distance"), F.max("angle").alias("angle")).collect()}  # a row a list
+        named = [(k, c.tolist(), *spread.get(k, (0.0, 0.0))) for k, c in enumerate(centers)]
+        spark.createDataFrame(named, "list int, center array<double>, distance double, angle double").coalesce(1).write.parquet(f"{folder}/centers")
         return IvfIndex.load(store, folder)
 
     @staticmethod
@@ -75,36 +97,68 @@ class IvfIndex:
         centers = sorted(spark.read.parquet(f"{folder}/centers").collect())  # MOST_LISTS rows at most
         names = [*store.definition.indexed]
         schema = _with_list(store.rows.select("id", "seq", "vector", *[quoted(c) for c in names]))
-        return IvfIndex(store, np.array([r["center"] for r in centers], float), spark.read.schema(schema).parquet(f"{folder}/rows"))
+        spread = np.array([(r["distance"], r["angle"]) for r in centers], float)
+        return IvfIndex(store, np.array([r["center"] for r in centers], float), spark.read.schema(schema).parquet(f"{folder}/rows"), spread)
 
     def nearest_lists(self, vector: list[float], probes: int) -> list[int]:
         return [int(k) for k in np.argsort(_near(np.array([vector], float), self.centers)[0], kind="stable")[:probes]]
 
+    def able_lists(self, vector: list[float], worst: float) -> list[int]:
+        """Lists that may have a row whose score is ``worst`` or better, by the distance or angle of the query from their centers."""
+        q, (distance, angle), metric = np.array(vector, float), self.spread.T, metric_of(self.store.definition.metric)
+        length, lengths = np.sqrt((q * q).sum()), np.sqrt((self.centers * self.centers).sum(axis=1))
+        if metric == DOT_PRODUCT:
+            able = self.centers @ q + length * (distance + SLACK * (lengths + distance)) >= worst - SLACK * abs(worst)
+        elif metric == COSINE:
+            known = (length > 0) & (lengths > 0)
+            apart = np.arccos(np.clip(np.where(known, self.centers @ q / np.where(known, length * lengths, 1), 1), -1, 1))
+            able = ~known | (np.cos(np.maximum(apart - angle - SLACK, 0)) >= worst - SLACK)
+        else:
+            apart = np.sqrt(((self.centers - q) ** 2).sum(axis=1))
+            able = apart - distance <= worst + SLACK * (length + lengths + distance + worst)
+        return np.flatnonzero(able).tolist()
+
     def probed(self, vector: list[float], probes: int, condition: Filter | None = None) -> DataFrame:
         """Rows of the lists nearest to the query: the scan reads their directories only."""
-        rows = self.rows.where(F.col("list").isin(self.nearest_lists(vector, probes)))
+        return self._of(self.nearest_lists(vector, probes), condition)
+
+    def _of(self, lists: list[int], condition: Filter | None) -> DataFrame:
+        rows = self.rows if len(lists) == len(self.centers) else self.rows.where(F.col("list").isin(lists))
         return rows if condition is None else rows.where(condition.column(self.store.definition.indexed))
 
+    def _best(self, rows: DataFrame, vector: list[float], top_k: int) -> DataFrame:
+        metric = metric_of(self.store.definition.metric)
+        rows = rows.withColumn("score", score(metric, F.col("vector"), F.lit([float(x) for x in vector])))
+        order = F.col("score").asc() if lower_is_better(metric) else F.col("score").desc()
+        return rows.select("id", "seq", "score").orderBy(order, "seq").limit(max(top_k, 1))
+
     def search(self, vector: list[float], top_k: int = 10, probes: int = 4, condition: Filter | None = None) -> DataFrame:
         """``id, seq, score``: exact scores within the ``probes`` lists whose centers are nearest to the query.
 
         ``condition`` may use promoted fields.
         """
-        metric = metric_of(self.store.definition.metric)
-        rows = self.probed(vector, probes, condition).withColumn("score", score(metric, F.col("vector"), F.lit([float(x) for x in vector])))
-        order = F.col("score").asc() if lower_is_better(metric) else F.col("score").desc()
-        return rows.select("id", "seq", "score").orderBy(order, "seq").limit(max(top_k, 1))
+        return self._best(self.probed(vector, probes, condition), vector, top_k)
+
+    def search_exact(self, vector: list[float], top_k: int = 10, probes: int = 4, condition: Filter | None = None) -> DataFrame:
+        """``id, seq, score`` of the exact best ``top_k``: the worst score that the nearest lists give tells which others are read too.
+
+        ``condition`` may use promoted fields.
+        """
+        worst = F.max("score") if lower_is_better(metric_of(self.store.definition.metric)) else F.min("score")
+        n, worst = self.search(vector, top_k, probes, condition).agg(F.count(F.lit(1)), worst).first()
+        lists = self.able_lists(vector, worst) if n == max(top_k, 1) else list(range(len(self.centers)))
+        return self._best(self._of(lists, condition), vector, top_k)
 
     def search_routed(self, vector: list[float], top_k: int = 10, condition: Filter | None = None, probes: int = 4, flat_below: int = 10_000) -> tuple[str, DataFrame]:
         """The route, FLAT or IVF, and its hits.
 
         Up to ``flat_below`` candidates after the filter are searched exactly, which costs no more than the
-        lists and loses none; more are searched in the lists, where a filter may use promoted fields only.
+        lists; more are searched in the lists, where a filter may use promoted fields only.  Both are exact.
         """
         few = candidates(self.store, condition).select("id").limit(flat_below + 1).count() <= flat_below
         if few:
             return "FLAT", search_by_vector(self.store, vector, top_k, condition=condition, payload=False)
-        return "IVF", self.search(vector, top_k, probes, condition)
+        return "IVF", self.search_exact(vector, top_k, probes, condition)
 
     def recall(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """``probes, recall``: share of the exact ``top_k`` of all ``queries`` (``query_id, vector``) found with so many lists.

@@ -77,3 +77,27 @@ def test_searches_without_k_have_no_limit(spark):
     assert search_by_vector(store, queries._vector(spark, FOLDER), None).count() == store.live().count()
     for name in ("topk_zero_vector", "topk_min_score_cosine", "topk_max_distance_l2"):
         assert "Limit" not in queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
+def test_both_routes_are_exact(spark, metric):
+    import numpy as np
+    from stellate.operators import filters as f
+    from stellate.operators.ivf import IvfIndex
+    from stellate.operators.search import search_by_vector
+    from stellate.plans.definition import StoreDefinition
+    from stellate.store import VectorStore
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 6)) * 0.4 + (rng.normal(size=(8, 6)) * 3)[rng.integers(0, 8, 400)]
+    v[[5, 6, 300]] = 0
+    v[200:210] = v[20]  # ties
+    docs = spark.createDataFrame([(str(k), k, [float(x) for x in row], k % 3) for k, row in enumerate(v)], "id string, seq long, vector array<float>, label int")
+    index = IvfIndex.build(VectorStore.from_documents(docs, StoreDefinition("m", 6, metric, indexed={"label": "int"})), lists=12)
+    for q in ([float(x) for x in v[20]], [float(x) for x in rng.normal(size=6)], [0.0] * 6):
+        for condition, k in ((None, 10), (f.eq("label", 1), 40)):
+            route, hits = index.search_routed(q, k, condition, probes=1, flat_below=10)
+            assert route == "IVF" and hits.collect() == search_by_vector(index.store, q, k, condition=condition, payload=False).collect()
+    q = [float(x) for x in v[20]]
+    worst = index.search_exact(q, 5).collect()[-1]["score"]
+    assert 0 < len(index.able_lists(q, worst)) < 12 or metric == "DOT_PRODUCT"

@@ -20,6 +20,8 @@ from .filters import Filter
 
 #: Bytes of the query vectors of one block, and of the store's vectors that a task holds at once.
 BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 64 << 20
+#: Most queries that a task scores at once, and their candidates.
+MOST_QUERIES, MOST_CANDIDATES = 1024, 1 << 20
 #: Most winners whose payload is fetched by their positions.
 FETCHED = 10_000
 
@@ -103,8 +105,8 @@ def search_batch(store: VectorStore, queries: DataFrame, top_k: int = 10, min_sc
 
     Up to ``BLOCK_BYTES`` of queries go to the tasks with their code.  More are written in blocks of so many
     bytes to the shared folder, from where tasks read them one at a time; of these the driver sees the names
-    of the files only.  A task holds a bounded chunk of the store, scores it against each block by float32
-    products, and scores again, in double, what these can't tell from the best ``top_k``.  Each chunk gives
+    of the files only.  A task holds a bounded chunk of the store, scores it against ``MOST_QUERIES`` of each
+    block at a time by float32 products, and scores again, in double, what these can't tell from the best ``top_k``.  Each chunk gives
     at most ``top_k`` rows a query, ties by ``seq``; a window ranks them.  Rows of ``queries`` that share a
     ``query_id`` are queries of their own.
     """
@@ -165,18 +167,16 @@ def _scorer(queries: list[Block] | list[str], metric: str, dimension: int, top_k
                         yield np.arange(first, first + len(names)), pa.array(names, pa.string()), np.frombuffer(raw, float).reshape(-1, dimension)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, scale = (np.array(params.low), np.array(params.scale)) if params else (None, None)
         held: list[pa.RecordBatch] = []
         size = 0
 
         def chunk() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             ids, seq = table.column(0).chunk(0), np.asarray(table.column(1).chunk(0))
             v = np.asarray(table.column(2).chunk(0).flatten()).reshape(len(seq), dimension)
-            if params:
-                v = low + scale * (v.astype(float) + 128)
             for numbers, names, q in blocks():
-                a, b, score = best_of(q, v, seq, metric, top_k, min_score)
+                a, b, score = best_of(q, v, seq, metric, top_k, min_score, params=params)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[a]), names.take(pa.array(a)), ids.take(pa.array(b)), pa.array(seq[b]), pa.array(score)], names=["query", "query_id", "id", "seq", "score"])
 
         for batch in batches:
@@ -185,7 +185,7 @@ def _scorer(queries: list[Block] | list[str], metric: str, dimension: int, top_k
                 size += batch.num_rows * dimension * 4
             if size >= CHUNK_BYTES:
                 yield from chunk()
-                held, size = [], 0
+                size = 0
         if held:
             yield from chunk()
 
@@ -203,22 +203,57 @@ def exact_scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.where(length == 0, 0.0, (q * v).sum(axis=-1) / np.where(length == 0, 1.0, length))
 
 
-def best_of(q: np.ndarray, v: np.ndarray, seq: np.ndarray, metric: str, top_k: int, min_score: float | None = None, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, row number and score of the best ``top_k`` rows of ``v`` for each query, ties by ``seq``.
+def best_of(q: np.ndarray, v: np.ndarray, seq: np.ndarray, metric: str, top_k: int, min_score: float | None = None, step: int = 4096, params: sq8.Params | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, row number and score of the best ``top_k`` rows of ``v`` (with ``params``: of codes) for each query, ties by ``seq``.
 
     Rows are met ``step`` at a time by products in float32, whose error is bounded: what is within the bound
     of the ``top_k``-th best so far is a candidate, and candidates are scored in double.  Where very many
-    rows tie, the query is scored in double as a whole, so candidates stay few.
+    rows tie, the query is scored in double as a whole, so candidates stay few.  Equal queries are scored
+    once, and a bounded number of queries at a time.
+    """
+    seen: dict[bytes, int] = {}
+    which = np.array([seen.setdefault(one.tobytes(), len(seen)) for one in q], np.int64)
+    if len(seen) < len(q):
+        x, y, score = best_of(q[np.unique(which, return_index=True)[1]], v, seq, metric, top_k, min_score, step, params)
+        first = np.searchsorted(x, np.arange(len(seen) + 1))
+        count = np.diff(first)[which]
+        at = np.arange(count.sum()) + np.repeat(first[which] - (np.cumsum(count) - count), count)
+        return np.repeat(np.arange(len(q)), count), y[at], score[at]
+    n, dimension = len(v), q.shape[1]
+    b, v_len = np.empty((n, dimension), np.float32), np.empty(n)
+    for at in range(0, n, step):
+        part = b[at : at + step]
+        part[:] = _doubles(v[at : at + step], params)
+        length = v_len[at : at + step] = np.sqrt(np.einsum("ij,ij->i", part, part, dtype=float))
+        if metric == COSINE:
+            part /= np.where(length == 0, 1, length)[:, None]
+    few = max(1, min(MOST_QUERIES, MOST_CANDIDATES // _candidates(top_k)))
+    parts = [(x + at, y, score) for at in range(0, len(q), few) for x, y, score in [_best_of_few(q[at : at + few], v, b, v_len, seq, metric, top_k, min_score, step, params)]]
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _doubles(v: np.ndarray, params: sq8.Params | None) -> np.ndarray:
+    """Vectors in double, of codes the dequantized ones."""
+    return np.array(params.low) + np.array(params.scale) * (v.astype(float) + 128) if params else v.astype(float)
+
+
+def _candidates(top_k: int) -> int:
+    """Most candidates of a query, beyond which it is scored as a whole."""
+    return 16 * top_k + 256
+
+
+def _best_of_few(q: np.ndarray, v: np.ndarray, b: np.ndarray, v_len: np.ndarray, seq: np.ndarray, metric: str, top_k: int, min_score: float | None, step: int, params: sq8.Params | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_of`` for distinct queries whose products with ``step`` rows are held at once.
+
+    ``b`` are the vectors in float32, for cosine of length 1, ``v_len`` their lengths.
     """
     n_q, n = len(q), len(v)
     way = 1.0 if metric in (COSINE, DOT_PRODUCT) else -1.0  # times the score: greater is better
-    a, b = q.astype(np.float32), v.astype(np.float32)
-    q_len, v_len = np.sqrt((q * q).sum(axis=1)), np.sqrt(np.einsum("ij,ij->i", b, b, dtype=float))
+    a, q_len = q.astype(np.float32), np.sqrt((q * q).sum(axis=1))
     unit = (q.shape[1] + 16) * 2.0**-23  # twice the usual bound of a product's relative error
     offset = None
     if metric == COSINE:
         a = (a / np.where(q_len == 0, 1, q_len)[:, None]).astype(np.float32)
-        b = (b / np.where(v_len == 0, 1, v_len)[:, None]).astype(np.float32)
         error = np.full(n_q, unit)
     elif metric == DOT_PRODUCT:
         error = unit * q_len * v_len.max()
@@ -229,6 +264,7 @@ def best_of(q: np.ndarray, v: np.ndarray, seq: np.ndarray, metric: str, top_k: i
     top = np.full((n_q, top_k), -np.inf, np.float32)
     tied = np.zeros(n_q, bool)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, most = 0, _candidates(top_k)
     for at in range(0, n, step):
         s = a @ b[at : at + step].T
         if offset is not None:
@@ -238,27 +274,34 @@ def best_of(q: np.ndarray, v: np.ndarray, seq: np.ndarray, metric: str, top_k: i
         edge[tied] = np.inf
         hit = s >= np.nextafter(edge.astype(np.float32), np.float32(-np.inf))[:, None]
         hit[tied] = False
-        many = hit.sum(axis=1) > 16 * top_k + 256
+        many = hit.sum(axis=1) > most
         if many.any() and s.shape[1] > top_k:
             tied |= many
             hit[many] = False
         x, y = np.nonzero(hit)
         value = s[x, y]
         found.append((x, y + at, value))
+        size += len(x)
         rows = np.concatenate([np.repeat(np.arange(n_q), top_k), x])
         values = np.concatenate([top.ravel(), value])
         order = np.lexsort((-values, rows))
         first = np.searchsorted(rows[order], np.arange(n_q))
         top = values[order][first[:, None] + np.arange(top_k)[None, :]]
         edge = top[:, -1].astype(float) - 2 * error
+        if size > n_q * most:  # candidates that better ones have left behind go
+            x, y, value = (np.concatenate([f[k] for f in found]) for k in range(3))
+            keep = value >= edge[x]
+            tied |= np.bincount(x[keep], minlength=n_q) > most
+            keep &= ~tied[x]
+            found, size = [(x[keep], y[keep], value[keep])], int(keep.sum())
     x, y, value = (np.concatenate([f[k] for f in found]) for k in range(3))
     keep = (value >= edge[x]) & ~tied[x]
     x, y = x[keep], y[keep]
-    pairs = max(1, (1 << 21) // q.shape[1])
-    score = np.concatenate([exact_scores(q[x[k : k + pairs]], v[y[k : k + pairs]], metric) for k in range(0, len(x), pairs)] or [np.zeros(0)])
+    pairs = max(1, (1 << 19) // q.shape[1])
+    score = np.concatenate([exact_scores(q[x[k : k + pairs]], _doubles(v[y[k : k + pairs]], params), metric) for k in range(0, len(x), pairs)] or [np.zeros(0)])
     parts = [(x, y, score)]
     for k in np.flatnonzero(tied):
-        one = np.concatenate([exact_scores(q[k], v[at : at + pairs], metric) for at in range(0, n, pairs)])
+        one = np.concatenate([exact_scores(q[k], _doubles(v[at : at + pairs], params), metric) for at in range(0, n, pairs)])
         best = np.lexsort((seq, -way * one))[:top_k]
         parts.append((np.full(len(best), k), best, one[best]))
     x, y, score = (np.concatenate([p[k] for p in parts]) for k in range(3))

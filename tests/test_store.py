@@ -197,6 +197,41 @@ def test_best_of_is_brute_force(metric):
             assert list(y[x == i]) == list(want) and (s[x == i] == exact[want]).all()
 
 
+@pytest.mark.parametrize("metric", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
+def test_many_queries_take_bounded_memory_and_equal_ones_no_time(metric):
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    v, q, seq = rng.normal(size=(9000, 16)).astype(np.float32), rng.normal(size=(12000, 16)), rng.permutation(9000)
+    q[3000:6000], q[6000:9000] = 0, q[5]
+    tracemalloc.start()
+    x, y, s = search.best_of(q, v, seq, metric, 5)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    for i in [*range(0, 12000, 501), 3001, 7000]:
+        exact = search.exact_scores(q[i], v, metric)
+        want = np.lexsort((seq, exact if metric == "EUCLIDEAN" else -exact))[:5]
+        assert list(y[x == i]) == list(want) and (s[x == i] == exact[want]).all()
+    assert len(x) == 60000 and (np.diff(x) >= 0).all()
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
+def test_codes_and_rising_scores_are_brute_force(metric):
+    from stellate.functions.sq8 import Params
+
+    rng = np.random.default_rng(4)
+    codes, q, seq = rng.integers(-128, 128, size=(3000, 8)).astype(np.int8), rng.normal(size=(20, 8)), rng.permutation(3000)
+    params = Params(tuple(rng.normal(size=8)), tuple(rng.uniform(0.01, 0.1, 8)))
+    v = np.array(params.low) + np.array(params.scale) * (codes.astype(float) + 128)
+    order = np.argsort(-search.exact_scores(q[0], v, metric) if metric == "EUCLIDEAN" else search.exact_scores(q[0], v, metric))
+    codes, v = codes[order], v[order]  # each step has better rows than the ones before
+    x, y, s = search.best_of(q, codes, seq, metric, 2, step=100, params=params)
+    for i in range(20):
+        exact = search.exact_scores(q[i], v, metric)
+        want = np.lexsort((seq, exact if metric == "EUCLIDEAN" else -exact))[:2]
+        assert list(y[x == i]) == list(want) and (s[x == i] == exact[want]).all()
+
+
 def test_batch_in_several_blocks_and_chunks(spark, monkeypatch):
     v = unit(300, 8, 5)
     docs = spark.createDataFrame([(str(k), k, [float(x) for x in row]) for k, row in enumerate(v)], "id string, seq long, vector array<float>")

@@ -3,13 +3,14 @@
 Fitting takes labelled rows: all of them up to ``sample`` (documented bound), beyond it those whose id
 hashes lowest.  Sparse features of the sample, in 2**BITS buckets for words, pairs of words and character
 trigrams each, are made and fitted in one task of bounded size: at most ``sample`` documents, one row each,
-whose texts take less room than their features.  A fifth of it, by id hash, is kept out of the fit and calibrates the probability (Platt).
+whose texts take less room than their features, which lie in a temporary file.  A fifth of it, by id hash, is kept out of the fit and calibrates the probability (Platt).
 Scoring runs over Arrow batches of whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from .common import kept_columns, quoted, span_hashes, text_blocks, window_hashe
 from .text_features import linear_scores, sparse_features
 
 BITS = 18
+#: Bytes of the texts whose features are made at once: these take about a hundred times as much.
+BLOCK_BYTES = 1 << 18
 #: Fixed thresholds.
 LEAST_WORDS, MOST_REPEATED_PERCENT, LEAST_PROBABILITY = 50, 50, 0.5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -95,6 +98,20 @@ def sampled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("_id", F.lit(11)).alias("id_hash"), "text", "label")
 
 
+def filed(rows: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sparse rows as views of a temporary file, whose pages the system may drop from memory; it goes with the last view."""
+    cuts = [0]
+    with tempfile.TemporaryFile() as file:
+        for at, x in rows:
+            file.write(at.astype(np.int32).tobytes())
+            file.write(x.astype(np.float32).tobytes())
+            cuts.append(cuts[-1] + len(at))
+        file.flush()
+        raw = np.memmap(file, np.int32, "r") if cuts[-1] else np.zeros(0, np.int32)
+    raw = np.asarray(raw)
+    return [(raw[2 * a : a + b], raw[a + b : 2 * b].view(np.float32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, epochs: int = 12, rate: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and intercept by AdaGrad over sparse rows (buckets and shares); classes weigh the same.
 
@@ -147,11 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> dict | None:
             held[:] = False
         if len({*y}) < 2:
             return pd.DataFrame({"at": [], "weights": [], "intercept": []})
-        parts = [part for _, _, data, offsets in text_blocks(pa.array(rows["text"], pa.large_string())) for part in sparse_features(data, offsets, BITS)]
-        cuts = np.cumsum([0, *(len(at) for at, _ in parts)])
-        at, x = (np.concatenate([p[k] for p in parts]) for k in range(2))
-        del parts
-        sparse = [(at[a:b], x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        texts = pa.array(rows.pop("text"), pa.large_string())
+        sparse = filed(part for _, _, data, offsets in text_blocks(texts, BLOCK_BYTES) for part in sparse_features(data, offsets, BITS))
+        del texts
         fitted = np.flatnonzero(~held)
         w, b = fit_logistic([sparse[k] for k in fitted], y[fitted], 3 << BITS)
         tested = np.flatnonzero(held) if held.any() else fitted
@@ -183,7 +198,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             weights[np.frombuffer(model["at"], np.int32)] = np.frombuffer(model["weights"], np.float32)
         for batch in batches:
             parts = []
-            for _, _, data, offsets in text_blocks(batch.column(at)):
+            for _, _, data, offsets in text_blocks(batch.column(at), BLOCK_BYTES):
                 found = base_counts(data, offsets)
                 found["base_failed"] = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > MOST_REPEATED_PERCENT * found["n_words"])
                 z = linear_scores(data, offsets, weights, BITS) + model["intercept"] if model else np.full(len(offsets) - 1, 50.0)

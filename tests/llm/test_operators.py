@@ -771,3 +771,17 @@ def test_zip_is_read_by_the_standard_library_and_by_ranges(tmp_path, wide):
 # ---------------------------------------------------------------- queries
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_features_lie_in_a_file():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(3 << quality.BITS, n, replace=False)).astype(np.int32), rng.random(n).astype(np.float32)) for n in (0, 1, 700, 0, 5)]
+    for (at, x), (want_at, want_x) in zip(quality.filed(rows), rows, strict=True):
+        assert at.dtype == np.int32 and x.dtype == np.float32 and (at == want_at).all() and (x == want_x).all()
+    assert quality.filed([]) == [] and [len(a) for a, _ in quality.filed([rows[0]])] == [0]
+    tracemalloc.start()
+    sparse = quality.filed((np.full(100_000, k, np.int32), np.full(100_000, k, np.float32)) for k in range(50))
+    assert tracemalloc.get_traced_memory()[1] < 5e6 and all((at == k).all() and (x == k).all() for k, (at, x) in enumerate(sparse))
+    tracemalloc.stop()
